@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, near_duplicates, nearest, split_chunks
+from ..plans.materialize import materialize
+from . import conversations, languages, near_duplicates, nearest, split_chunks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,4 +48,17 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest(table, "chunk_id", "vector", recall=0.95, queries=asked)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_conversations, p5_found, p5_nearest)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    segments = languages.language_segments(_table(spark, d, "documents"), _table(spark, d, "lang_codes"))
+    return languages.language_findings(materialize(segments, "segments"))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    segments = languages.language_segments(_table(spark, d, "documents"), _table(spark, d, "lang_codes"))
+    return languages.document_languages(segments)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_pieces, p3_found, p4_found, p4_conversations, p5_found, p5_nearest, p8_found, p8_languages)
+}
