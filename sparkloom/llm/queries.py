@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from . import conversations, languages, near_duplicates, nearest, split_chunks
+from . import conversations, languages, near_duplicates, nearest, split_chunks, subjects
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(_table(spark, d, "documents"), _table(spark, d, "subject_areas"), _table(spark, d, "subject_labels"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_shares(_subjects(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_chunks.oversized_ids(_table(spark, d, "chunks"))
 
@@ -60,5 +72,7 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p4_found, p4_conversations, p5_found, p5_nearest, p8_found, p8_languages)
-}
+    for f in (
+        p1_found, p1_shares, p2_found, p2_pieces, p3_found, p4_found, p4_conversations, p5_found, p5_nearest, p8_found, p8_languages,
+    )
+}
