@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from . import conversations, languages, near_duplicates, nearest, split_chunks, subjects
+from . import conversations, languages, mixing, near_duplicates, nearest, packing, split_chunks, subjects
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,31 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest(table, "chunk_id", "vector", recall=0.95, queries=asked)
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(_table(spark, d, "documents")))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    counts = packing.token_counts(_table(spark, d, "documents"), carry=("source",))
+    return mixing.mix_sources(counts, _table(spark, d, "source_targets"))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(materialize(_mixed(spark, d), "mixed"), _table(spark, d, "source_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     segments = languages.language_segments(_table(spark, d, "documents"), _table(spark, d, "lang_codes"))
     return languages.language_findings(materialize(segments, "segments"))
@@ -73,6 +98,7 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_shares, p2_found, p2_pieces, p3_found, p4_found, p4_conversations, p5_found, p5_nearest, p8_found, p8_languages,
+        p1_found, p1_shares, p2_found, p2_pieces, p3_found, p4_found, p4_conversations, p5_found, p5_nearest,
+        p6_packed, p6_report, p7_mixed, p7_report, p8_found, p8_languages,
     )
 }

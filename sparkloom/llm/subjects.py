@@ -25,7 +25,7 @@ from ..plans.materialize import materialize
 from .prose import paragraphs, sentences
 
 #: Labelled documents per subject that the verification of terms looks at.
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 800
 #: A term is verified if it stands in this many of a subject's documents, this many
 #: standard deviations above chance and this often its share. Documents are
 #: counted, not sentences, as those of one document do not speak independently;
