@@ -51,7 +51,7 @@ def label_code(label: Column, codes: list[str], names: dict[str, str]) -> Column
     first = F.regexp_extract(F.lower(F.trim(label)), r"^[\p{L}]+", 0)
     out = F.lit(None).cast("string")
     for code in codes:
-        known = {code, *OTHER_NAMES.get(code, ()), names.get(code, code).lower()}
+        known = {code, *OTHER_NAMES.get(code, ()), (names.get(code) or code).lower()}
         out = F.when(first.isin(*sorted(known)), code).otherwise(out)
     return out
 

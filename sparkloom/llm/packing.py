@@ -29,7 +29,7 @@ from ..plans.materialize import materialize
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and their step.
-ROUNDS, STEP = 150, 0.3
+ROUNDS, STEP = 60, 0.3
 
 
 def load_tokenizer(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
@@ -138,29 +138,37 @@ def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         weights *= np.exp(-step * cover / max(cover.max(), 1e-12))
         weights /= weights.max()
         weights = np.maximum(weights, 1e-9)
-    # scale the shares to demand, most used and fullest first, rounded down
+    # scale the shares to demand, most used first, rounded down
     total = sum(use.values())
     bins = float((lengths * left).sum()) / capacity
-    plan: Counter = Counter()
-    order = sorted(use.items(), key=lambda x: (-x[1], x[0]))
-    for take, n in order:
+    rounded: Counter = Counter()
+    rest = left.copy()
+    for take, n in sorted(use.items(), key=lambda x: (-x[1], x[0])):
         t = np.array(take)
         held = t > 0
-        times = int(min(np.floor(bins * n / total), (left[held] // t[held]).min())) if held.any() else 0
+        times = int(min(np.floor(bins * n / total), (rest[held] // t[held]).min())) if held.any() else 0
         if times > 0:
-            plan[take] += times
-            left -= t * times
-    # the rest: the largest item with what fills its container best, as often as it can be
+            rounded[take] += times
+            rest -= t * times
+    # where counts are small, rounding may cost more than the program gains
+    plans = [_complete(rounded, rest, lengths, capacity), _complete(Counter(), left.copy(), lengths, capacity)]
+    plan = min(plans, key=lambda p: p.total())
+    named = Counter()
+    for take, n in plan.items():
+        named[tuple((int(lengths[i]), int(c)) for i, c in enumerate(take) if c)] += n
+    return sorted(named.items(), key=lambda x: x[0], reverse=True)
+
+
+def _complete(plan: Counter, left: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
+    """Adds what is left: the largest item with what fills its container best, as often as it can be."""
+    plan = plan.copy()
     while left.sum() > 0:
         take = fullest_container(lengths, left, capacity)
         held = take > 0
         times = int((left[held] // take[held]).min())
         plan[tuple(take.tolist())] += times
         left -= take * times
-    named = Counter()
-    for take, n in plan.items():
-        named[tuple((int(lengths[i]), int(c)) for i, c in enumerate(take) if c)] += n
-    return sorted(named.items(), key=lambda x: x[0], reverse=True)
+    return plan
 
 
 def pieces_of(counts: DataFrame, capacity: int) -> DataFrame:
@@ -171,7 +179,7 @@ def pieces_of(counts: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("whole") - first).alias("tokens"))
 
 
-def pack(counts: DataFrame, capacity: int = CAPACITY, spread: int = 64) -> DataFrame:
+def pack(counts: DataFrame, capacity: int = CAPACITY, spread: int = 16) -> DataFrame:
     """(doc_id, piece, first_token, tokens, container): every piece with its container.
 
     ``counts`` has doc_id and tokens. Repeated rows of one doc_id with the same
@@ -200,6 +208,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, spread: int = 64) -> DataF
     # bounded by the plan: its configurations times the lengths in one
     slots = spark.createDataFrame(slots, "tokens long, low long, high long, many long, first long")
     within = Window.partitionBy("tokens", "bucket").orderBy("doc_id", "piece", "first_token")
+    # at most (capacity + 1) * spread rows are broadcast here, and the plan below
     ranked = pieces.withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), ["tokens", "bucket"])
     ranked = ranked.select("doc_id", "piece", "first_token", "tokens", (F.col("offset") + F.col("nth") - 1).alias("rank"))
     placed = ranked.join(F.broadcast(slots), "tokens").where("rank >= low AND rank < high")
