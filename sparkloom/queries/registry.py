@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,17 +24,3 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
-    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q
-    ORDER BY score DESC, vec_id LIMIT 10"""
-)
-def vector_topk_exact(spark, d):
-    from ..functions.vectors import cosine
-
-    e = table(spark, d, "embeddings")
-    q = e.agg(F.min_by("embedding", "vec_id").alias("v"))  # one row
-    scored = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine("embedding", "v"), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(10)
