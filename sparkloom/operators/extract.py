@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,10 +83,20 @@ def dates(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """array<struct<entity, type>>: all kinds in order; of equal texts the first kind counts."""
-    kind = lambda found, name: F.transform(found, lambda e: F.struct(e.alias("entity"), F.lit(name).alias("type")))
-    every = F.concat(kind(proper_nouns(text), "proper_noun"), kind(tech_terms(text), "tech_term"), kind(identifiers(text), "identifier"), kind(dates(text), "date"))
-    keep = lambda e, i: (i == 0) | ~F.exists(F.slice(every, 1, F.greatest(i, F.lit(1))), lambda p: (p["entity"] == e["entity"]) & (i > 0))
-    return F.filter(every, keep)
+    kinds = {"proper_noun": proper_nouns(text), "tech_term": tech_terms(text), "identifier": identifiers(text), "date": dates(text)}
+
+    def named(found: Column) -> Column:
+        def one(e: Column) -> Column:
+            kind = F.lit("date")
+            for name in ("identifier", "tech_term", "proper_noun"):
+                kind = F.when(F.array_contains(found[name], e), name).otherwise(kind)
+            return F.struct(e.alias("entity"), kind.alias("type"))
+
+        return F.transform(F.array_distinct(F.concat(*[found[k] for k in kinds])), one)
+
+    # the kinds are found once, as the only element of an array
+    found = F.struct(*[v.alias(k) for k, v in kinds.items()])
+    return F.element_at(F.transform(F.array(found), named), 1)
 
 
 def persons_zh(text: str, surnames: frozenset[str], not_names: frozenset[str] = frozenset()) -> list[str]:
@@ -106,46 +117,69 @@ def persons_zh(text: str, surnames: frozenset[str], not_names: frozenset[str] =
     return list(dict.fromkeys(out))
 
 
-def relation_of(sentence: str, subject: str, obj: str) -> tuple[str, float] | None:
-    """The first rule that links two entities in a sentence, in the order of certainty."""
-    a, b = re.escape(subject), re.escape(obj)
+def _rules_in(sentence: str) -> list[tuple[str, float, str, bool]]:
+    """(type, confidence, phrase, is a pattern) of the rules whose words the sentence has, surest first."""
+    out = []
     for rules, sure in ((EXACT, SURE), (LOOSE, LIKELY)):
-        for kind, phrases in rules:
-            for phrase in phrases:
-                s, o = sentence.find(subject), sentence.rfind(obj)
-                p = sentence.find(phrase, s + len(subject) - 1) if s >= 0 else -1
-                if 0 <= s < p < o:
-                    return kind, sure
-    for kind, phrase in EXACT_ZH:
-        if re.search(rf"{a}\s*{phrase}\s*{b}", sentence):
-            return kind, SURE
-    for kind, phrase in EXACT_ZH:
-        if re.search(rf"{a}.*{phrase}.*{b}", sentence):
-            return kind, LIKELY
+        out += [(kind, sure, phrase, False) for kind, phrases in rules for phrase in phrases if phrase in sentence]
+    zh = [(kind, p) for kind, p in EXACT_ZH if all(x in sentence for x in p.split(".*"))]
+    out += [(kind, SURE, rf"\s*{p}\s*", True) for kind, p in zh]
+    return out + [(kind, LIKELY, f".*{p}.*", True) for kind, p in zh]
+
+
+def _follows(rule: tuple[str, float, str, bool], sentence: str, subject: str, obj: str) -> bool:
+    _, _, phrase, pattern = rule
+    if pattern:
+        return re.search(re.escape(subject) + phrase + re.escape(obj), sentence) is not None
+    s, o = sentence.find(subject), sentence.rfind(obj)
+    return s < sentence.find(phrase, s + len(subject) - 1) < o
+
+
+def sentence_relations(sentence: str, names: list[str]) -> Iterator[tuple[str, str, str, float]]:
+    """(subject, type, object, confidence) of ordered pairs of names in a sentence.
+
+    The first rule that holds counts; without one, names within reach of each
+    other in bytes are related. Pairs out of reach are only looked at where the
+    sentence has the words of some rule.
+    """
     raw = sentence.encode()
-    s, o = raw.find(subject.encode()), raw.find(obj.encode())
-    if s >= 0 and o >= 0 and abs(s - o) <= len(subject.encode()) + len(obj.encode()) + NEAR_BYTES:
-        return "related_to", TOGETHER
-    return None
+    here = sorted((raw.find(n.encode()), n) for n in names if n in sentence)
+    rules = _rules_in(sentence)
+    longest = max((len(n.encode()) for _, n in here), default=0)
+    for at, subject in here:
+        start = 0 if rules else bisect_left(here, (at - 2 * longest - NEAR_BYTES, ""))
+        for pos, obj in here[start:]:
+            reach = len(subject.encode()) + len(obj.encode()) + NEAR_BYTES
+            if not rules and pos > at + 2 * longest + NEAR_BYTES:
+                break
+            if obj == subject:
+                continue
+            rule = next((r for r in rules if _follows(r, sentence, subject, obj)), None)
+            if rule:
+                yield subject, rule[0], obj, rule[1]
+            elif abs(at - pos) <= reach:
+                yield subject, "related_to", obj, TOGETHER
+
+
+def relation_of(sentence: str, subject: str, obj: str) -> tuple[str, float] | None:
+    """What links two names in a sentence."""
+    found = {(s, o): (kind, sure) for s, kind, o, sure in sentence_relations(sentence, [subject, obj])}
+    return found.get((subject, obj))
 
 
 def relations(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(id, src, relation_type, dst, confidence): each relation of a text once."""
-    source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("entities"))
+    source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.transform("entities", lambda e: e["entity"]).alias("names"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text, found in zip(batch.id, batch.text, batch.entities):
-                names, seen = ([] if found is None else [e["entity"] for e in found]), set()
+            for key, text, names in zip(batch.id, batch.text, batch.names):
+                seen = {}
                 for sentence in re.split(r"[。？！.?!\n]", text or ""):
-                    here = [n for n in names if n in sentence]
-                    for s in here:
-                        for o in here:
-                            hit = relation_of(sentence, s, o) if s != o else None
-                            if hit and (s, hit[0], o) not in seen:
-                                seen.add((s, hit[0], o))
-                                rows.append((key, s, hit[0], o, hit[1]))
+                    for s, kind, o, sure in sentence_relations(sentence, [] if names is None else list(names)):
+                        seen.setdefault((s, kind, o), sure)
+                rows += [(key, s, kind, o, sure) for (s, kind, o), sure in seen.items()]
             yield pd.DataFrame(rows, columns=["id", "src", "relation_type", "dst", "confidence"])
 
     return source.mapInPandas(run, f"id {dict(source.dtypes)['id']}, src string, relation_type string, dst string, confidence double")
