@@ -41,8 +41,8 @@ SAMPLE_DOCS, DICT_BYTES, LEVEL = 150, 131072, 3
 #: The least lead of the best language over the next, in bytes per character of
 #: the sentence, and the most bytes per byte that count as language at all.
 MARGIN, MOST_RATIO = 0.06, 0.8
-_HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 #: Names, numbers and references tell nothing about a language.
+_HAN, _LETTER = re.compile(r"[㐀-䶿一-鿿豈-﫿]"), re.compile(r"[^\W\d_]")
 _NOISE = re.compile(r"[A-Za-z]*[0-9][A-Za-z0-9-]*|[A-Z]{2,}-")
 
 
@@ -60,30 +60,37 @@ def _canon(sentence: str) -> bytes:
     return _NOISE.sub("", sentence).lower().encode("utf-8", "replace")
 
 
-def _compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
+def _script(text: str) -> bool | None:
+    """True for Chinese characters for the most part, False for none, null between."""
+    han = len(_HAN.findall(text))
+    return True if 3 * han > len(_LETTER.findall(text)) else None if han else False
+
+
+def _compressors(dictionaries: dict[str, bytes]) -> dict[str, tuple[zstandard.ZstdCompressor, bool | None]]:
+    """Each language's compressor, and the script of its dictionary."""
     out = {}
     for code, content in dictionaries.items():
         raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         raw.precompute_compress(level=LEVEL)
-        out[code] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+        out[code] = packer, _script(content.decode("utf-8", "replace")) is True
     return out
 
 
-def judge(sentence: str, compressors: dict[str, zstandard.ZstdCompressor]) -> tuple[str | None, float]:
+def judge(sentence: str, compressors: dict[str, tuple[zstandard.ZstdCompressor, bool | None]]) -> tuple[str | None, float]:
     """(language, confidence) of a sentence; language is null if undecided.
 
-    The confidence is the lead of the best over the next, as a share of the next.
+    Languages of another script are not tried. The confidence is the lead of the
+    best over the next, as a share of the next.
     """
-    data = _canon(sentence)
-    if not data or not compressors:
+    data, script = _canon(sentence), _script(sentence)
+    sizes = sorted((len(c.compress(data)), code) for code, (c, han) in compressors.items() if script is None or han is script)
+    if not data or not sizes:
         return None, 0.0
-    sizes = sorted((len(c.compress(data)), code) for code, c in compressors.items())
     best, code = sizes[0]
-    if len(sizes) == 1:
-        return code, 1.0 - best / max(1, len(data))
-    lead = sizes[1][0] - best
+    lead = (sizes[1][0] if len(sizes) > 1 else len(data)) - best
     sure = lead >= MARGIN * len(data) and best <= MOST_RATIO * len(data)
-    return (code if sure else None), lead / max(1, sizes[1][0])
+    return (code if sure else None), lead / max(1, lead + best)
 
 
 def _fill(texts: list[str], most: int) -> bytes:
@@ -129,7 +136,7 @@ def fit_dictionaries(labelled: list[tuple[str, str]], rounds: int = 3, shards: i
         judges = {}
         for code, parts in kept.items():
             filled = [_fill(p, DICT_BYTES // 4) for p in parts]
-            judges[code] = [_compressors({code: b})[code] for b in filled]
+            judges[code] = [_compressors({code: b})[code][0] for b in filled]
         kept = {
             code: [[t for t in part if _judge_by_shards(_canon(t), judges, i) == code] for i, part in enumerate(parts)]
             for code, parts in dealt.items()
@@ -156,7 +163,7 @@ def dictionaries_of(documents: DataFrame, codes: list[str], names: dict[str, str
     return fit_dictionaries(sample)
 
 
-def segments_of(text: str, compressors: dict[str, zstandard.ZstdCompressor]) -> list[tuple[int, str, int, float]]:
+def segments_of(text: str, compressors: dict[str, tuple[zstandard.ZstdCompressor, bool | None]]) -> list[tuple[int, str, int, float]]:
     """(para_no, language, characters, mean confidence) of each paragraph's languages."""
     out = []
     for no, paragraph in enumerate(paragraphs(text), 1):
