@@ -182,3 +182,19 @@ def hybrid_search(spark, d):
     q = table(spark, d, "subject_areas").select(F.col("subject").alias("query_id"), normalize_query("description").alias("query"))
     chunks = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("sequence").alias("sequence"), F.min("content").alias("content"))
     return hybrid_retrieve(chunks, q, 8)
+
+
+@query()
+def near_vector_pairs(spark, d):
+    from ..operators.dedup import near_vector_pairs as pairs
+
+    v = table(spark, d, "chunk_vectors").where("size(vector) = 64").select("chunk_id", "vector").dropDuplicates(["chunk_id"])
+    return pairs(v, "chunk_id", "vector")
+
+
+@query()
+def contradiction_candidates(spark, d):
+    from ..operators.dedup import contradiction_candidates as candidates
+
+    c = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("sequence").alias("sequence"))
+    return candidates(c, table(spark, d, "chunk_vectors").where("size(vector) = 64").select("chunk_id", "vector"))

@@ -157,3 +157,37 @@ def answer_slices(spark, d):
 @query()
 def search_expressions(spark, d):
     return table(spark, d, "semantic_cache").select("cache_id", T.fts_query("query_text").alias("expression"))
+
+
+@query()
+def compressed_answers(spark, d):
+    from ..operators.compress import compressed
+
+    c = table(spark, d, "semantic_cache").select("cache_id", "answer_text", "query_text").distinct()
+    return compressed(c, "cache_id", "answer_text", "query_text", 2.0)
+
+
+@query()
+def propositions_of_chunks(spark, d):
+    import re
+
+    import pandas as pd
+
+    first_name = lambda s: next(iter(re.findall(r"\b[A-Z][a-z]{3,}\b", s)), None)
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, i, p) for k, t in zip(b.chunk_id, b.content) for i, p in enumerate(extract.propositions(t or "", first_name))]
+            yield pd.DataFrame(rows, columns=["chunk_id", "sequence", "content"])
+
+    c = table(spark, d, "chunks").select("chunk_id", "content").distinct()
+    return c.mapInPandas(run, "chunk_id long, sequence int, content string")
+
+
+@query()
+def wiki_link_targets(spark, d):
+    from pyspark.sql.types import ArrayType, StringType
+
+    links = F.pandas_udf(lambda s: s.map(lambda t: extract.wiki_links(t or "")), ArrayType(StringType()))
+    linked = F.concat("text", F.lit("\n[["), T.base_name("file_path"), F.lit("|file]] and `[[code]]`"))
+    return table(spark, d, "documents").select("doc_id", F.explode(links(linked)).alias("target"))

@@ -184,3 +184,26 @@ def test_files_from_a_folder(spark, tmp_path):
 def test_embedder_is_stable():
     a, b = hashing_embedder(["same words here", "same words here"])
     assert (a == b).all() and abs(float((a * a).sum()) - 1) < 1e-5
+
+
+def test_compression():
+    from sparkloom.operators import compress as C
+
+    assert C.compress("one. two.", "q", 1.0) == "one. two."
+    short = C.compress("The cat sat on the mat. NASA launched Apollo in 1969. It was a day.", "apollo", 3.0)
+    assert "Apollo" in short and "The" not in short.split()
+    assert C.compress("```\nx = 1 // note\n```", "q", 2.0) == "```\nx = 1\n```"
+    assert C.keep_count(10, 4) == 5 and C.cut_bytes("aé", 2) == "a"
+    assert "left out" in C.bounded_output("\n".join("x" * 600)) and C.bounded_output("a") == "a"
+
+
+def test_near_vectors(spark):
+    import numpy as np
+
+    from sparkloom.operators.dedup import near_vector_pairs
+
+    rng = np.random.default_rng(0)
+    base = rng.standard_normal((40, 32))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base + 0.1 * rng.standard_normal(base.shape)]))] + [(900, [float(x) for x in base[0]]), (901, None), (None, [1.0])]
+    got = {(r.a, r.b) for r in near_vector_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()}
+    assert {(i, i + 40) for i in range(40)} <= got | {(0, 40)} and len(got) >= 40
