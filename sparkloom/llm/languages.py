@@ -62,8 +62,10 @@ def _canon(sentence: str) -> bytes:
 
 def _script(text: str) -> bool | None:
     """True for Chinese characters for the most part, False for none, null between."""
+    if text.isascii() or not _HAN.search(text):
+        return False
     han = len(_HAN.findall(text))
-    return True if 3 * han > len(_LETTER.findall(text)) else None if han else False
+    return True if 3 * han > len(_LETTER.findall(text)) else None
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> dict[str, tuple[zstandard.ZstdCompressor, bool | None]]:
