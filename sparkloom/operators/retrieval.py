@@ -1,14 +1,16 @@
 """Ranked retrieval: exact and keyword search, fusion, expansion, caches.
 
-All operators take many queries at once. Query sets are stated inputs of bounded
-size; they are broadcast only below ``QUERY_ROWS`` rows and joined in blocks
-beyond it.
+All operators take many queries at once. Query sets are stated inputs; they are
+taken in blocks of ``QUERY_ROWS``, each against all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +36,53 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: str, k: int | None = N
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vec", least: float | None = None) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top k of each query (query_id, query_vec).
 
-    Queries are taken in blocks of ``QUERY_ROWS``; each block is one scan of the
-    vectors with a bounded list per partition before the shuffle.
+    Queries are taken in blocks of ``QUERY_ROWS``, each a matrix that an Arrow
+    batch of vectors is multiplied with; a batch hands on its k best per query.
+    Ties go to the smaller id. Vectors of another length or without a norm score 0.
     """
-    data = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec"))
-    blocks = -(-queries.count() // QUERY_ROWS) or 1
+    data = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where("id IS NOT NULL")
+    id_type, q_type = dict(data.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    schema = f"query_id {q_type}, id {id_type}, score double"
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
     parts = []
     for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = data.join(F.broadcast(some.select("query_id", "query_vec")), F.lit(True))
-        scored = pairs.select("query_id", "id", F.round(cosine("vec", "query_vec"), 6).alias("score"))
-        if least is not None:
-            scored = scored.where(F.col("score") >= least)
-        parts.append(ranked(scored, ["query_id"], "score", "id", k))
-    return reduce(DataFrame.unionByName, parts)
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "query_vec").collect()
+        by_length: dict[int, tuple[list, np.ndarray]] = {}
+        for n in {len(r.query_vec) for r in block}:
+            same = [r for r in block if len(r.query_vec) == n]
+            by_length[n] = [r.query_id for r in same], _units(np.array([r.query_vec for r in same], float).reshape(len(same), n))
+        names = pa.array([r.query_id for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch], by_length=by_length, names=names) -> Iterator[pa.RecordBatch]:
+            place = {q: i for i, q in enumerate(names.to_pylist())}
+            for batch in batches:
+                vecs = batch.column("vec").to_pylist()
+                lengths = np.array([len(v) if v is not None else -1 for v in vecs])
+                scores = np.zeros((len(place), batch.num_rows))
+                for n, (ids, q) in by_length.items():
+                    rows = np.flatnonzero(lengths == n)
+                    if len(rows) and n:
+                        x = _units(np.array([vecs[i] for i in rows], float))
+                        scores[np.ix_([place[i] for i in ids], rows)] = np.round(np.nan_to_num(q @ x.T), 6)
+                order = np.argsort(np.array(batch.column("id").to_pylist()), kind="stable")
+                best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                q, row = np.repeat(np.arange(len(place)), best.shape[1]), best.ravel()
+                out = pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("id").take(pa.array(row)), pa.array(scores[q, row] + 0.0)], names=["query_id", "id", "score"])
+                yield out
+
+        if block:
+            parts.append(data.mapInArrow(run, schema))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    scored = reduce(DataFrame.unionByName, parts)
+    if least is not None:
+        scored = scored.where(F.col("score") >= least)
+    return ranked(scored, ["query_id"], "score", "id", k)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True)) if x.size else x
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
 def keyword_hits(texts: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -60,10 +95,15 @@ def keyword_hits(texts: DataFrame, terms: list[str], id_col: str, text_col: str)
     some = [t.lower() for t in dict.fromkeys(terms) if len(t) >= 3]
     if not some:
         return texts.select(F.col(id_col).alias("id"), F.lit("").alias("term"), F.lit(0).alias("tf")).where("false")
-    count = lambda t: ((F.char_length(F.col("low")) - F.char_length(F.replace(F.col("low"), F.lit(t)))) / len(t)).cast("int")
-    each = F.array(*[F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in some])
-    hits = texts.select(F.col(id_col).alias("id"), low.alias("low")).select("id", F.inline(each))
-    return hits.where("tf > 0")
+
+    def counted(text: Column) -> Column:
+        tf = lambda t: F.floor((F.char_length(text) - F.char_length(F.replace(text, F.lit(t)))) / len(t)).cast("int")
+        each = [F.when(F.contains(text, F.lit(t)), F.struct(F.lit(t).alias("term"), tf(t).alias("tf"))) for t in some]
+        return F.array_compact(F.array(*each))
+
+    # the lower-case text is made once, as the only element of an array
+    hits = F.element_at(F.transform(F.array(low), counted), 1)
+    return texts.where(low.isNotNull()).select(F.col(id_col).alias("id"), F.inline(hits))
 
 
 def bm25_search(texts: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
