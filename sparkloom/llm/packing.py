@@ -7,7 +7,9 @@ weights: lengths that are covered too little get a higher price, the best
 container at these prices is found by a knapsack dynamic program. The solution is
 rounded down; what is left is placed largest first, each with the others that fill
 its container best. Texts then find their container by their rank among the texts
-of their length.
+of their length. Where lengths have few texts each, rounding leaves almost all to the
+filling, and the plan without the program is taken if it needs fewer containers; the
+README has figures.
 """
 
 from __future__ import annotations
