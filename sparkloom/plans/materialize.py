@@ -45,9 +45,3 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(df.sparkSession).replace("file://", "file:///").replace("file:////", "file:///")) or shared_dir(df.sparkSession).removeprefix("file://") in path:
-            _remove(df.sparkSession, path)
