@@ -54,15 +54,33 @@ def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: f
     return sided.select("a", "b", F.round(cosine("va", "vb"), 6).alias("score")).where(F.col("score") >= least)
 
 
+def near_vector_members(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, rep): every id that has a vector, and the smallest id with an equal one."""
+    own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.size("vec") > 0)
+    return own.join(own.groupBy("vec").agg(F.min("id").alias("rep")), "vec").select("id", "rep").distinct()
+
+
 def contradiction_candidates(chunks: DataFrame, vectors: DataFrame, least: float = 0.70, per_doc: int = 3) -> DataFrame:
-    """Pairs of alike chunks of different documents; the first ``per_doc`` chunks of each take part."""
+    """(a, b, score, doc_a, doc_b), a < b: all pairs of alike chunks of different documents, equal vectors included.
+
+    The first ``per_doc`` chunks of each document take part. Links between vectors
+    are brought back to all chunks that hold them before documents are compared.
+    """
     w = Window.partitionBy("doc_id").orderBy("sequence", "chunk_id")
     first = chunks.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_doc).select("chunk_id", "doc_id")
-    some = vectors.join(first.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
-    pairs = near_vector_pairs(some, "chunk_id", "vector", least, 6, 40)
-    a = first.select(F.col("chunk_id").alias("a"), F.col("doc_id").alias("doc_a"))
-    b = first.select(F.col("chunk_id").alias("b"), F.col("doc_id").alias("doc_b"))
-    return pairs.join(a, "a").join(b, "b").where("doc_a <> doc_b")
+    some = materialize(vectors.join(first.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]), "first-vectors")
+    links = near_vector_pairs(some, "chunk_id", "vector", least, 6, 40).select("a", "b", "score")
+    members = near_vector_members(some, "chunk_id", "vector").withColumnRenamed("id", "chunk_id")
+    members = materialize(members.join(first, "chunk_id").select("rep", "chunk_id", "doc_id"), "members")
+    # the link of a vector to itself stands for the pairs of its copies
+    itself = some.select(F.col("chunk_id").alias("a"), F.col("chunk_id").alias("b"), F.round(cosine("vector", "vector"), 6).alias("score"))
+    itself = itself.join(members.select(F.col("rep").alias("a")).distinct(), "a", "left_semi").where((F.col("score") >= least) & ~F.isnan("score"))
+    x = members.select(F.col("rep").alias("a"), F.col("chunk_id").alias("x"), F.col("doc_id").alias("doc_x"))
+    y = members.select(F.col("rep").alias("b"), F.col("chunk_id").alias("y"), F.col("doc_id").alias("doc_y"))
+    pairs = links.unionByName(itself.select("a", "b", "score")).join(x, "a").join(y, "b").where("doc_x <> doc_y AND (a <> b OR x < y)")
+    ordered = F.col("x") < F.col("y")
+    docs = [F.when(ordered, F.col(p)).otherwise(F.col(q)) for p, q in (("doc_x", "doc_y"), ("doc_y", "doc_x"))]
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score", docs[0].alias("doc_a"), docs[1].alias("doc_b"))
 
 
 def suggestions(documents: DataFrame, near: DataFrame) -> DataFrame:

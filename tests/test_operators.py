@@ -207,3 +207,15 @@ def test_near_vectors(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base + 0.1 * rng.standard_normal(base.shape)]))] + [(900, [float(x) for x in base[0]]), (901, None), (None, [1.0])]
     got = {(r.a, r.b) for r in near_vector_pairs(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()}
     assert {(i, i + 40) for i in range(40)} <= got | {(0, 40)} and len(got) >= 40
+
+
+def test_contradictions_of_equal_vectors(spark):
+    from sparkloom.operators.dedup import contradiction_candidates
+
+    one, near, far = [1.0, 0.0, 0.0], [1.0, 0.05, 0.0], [0.0, 0.0, 1.0]
+    # 1 and 2 are equal in two documents; the smallest holders of one and near lie in document 10
+    rows = [(1, 10, one), (2, 20, one), (3, 10, near), (4, 30, near), (5, 30, far), (6, 40, [0.0] * 3), (7, 50, [0.0] * 3)]
+    chunks = spark.createDataFrame([(c, d, c) for c, d, _ in rows], "chunk_id long, doc_id long, sequence long")
+    vectors = spark.createDataFrame([(c, v) for c, _, v in rows], "chunk_id long, vector array<double>")
+    got = sorted((r.a, r.b, r.doc_a, r.doc_b) for r in contradiction_candidates(chunks, vectors).collect())
+    assert got == [(1, 2, 10, 20), (1, 4, 10, 30), (2, 3, 20, 10), (2, 4, 20, 30), (3, 4, 10, 30)]
