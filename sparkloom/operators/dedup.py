@@ -1,7 +1,7 @@
-"""Near-duplicate vectors by hyperplane signatures, and maintenance suggestions.
+"""Near-duplicate vectors by blocks of matrices, and maintenance suggestions.
 
-Candidates share a band of their signature; each candidate pair is checked with
-the exact cosine. A band that many share is split over tasks by the join itself.
+All pairs of blocks are multiplied in single precision; pairs that may reach the
+bound are checked with the exact cosine.
 """
 
 from __future__ import annotations
@@ -16,42 +16,65 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..plans.materialize import materialize
 
-#: Bits of a band and bands of a signature: at a cosine of 0.92 a pair shares a
-#: band with a probability of 0.998, at 0.70 of 0.6.
-BAND_BITS, BANDS = 10, 24
+#: Vectors of a block, and how much the single-precision cosine of a block may be off.
+BLOCK, SLACK = 4096, 1e-4
 
 
-def signature_bands(vectors: DataFrame, id_col: str, vector_col: str, bits: int = BAND_BITS, bands: int = BANDS, seed: int = 5) -> DataFrame:
-    """(id, bands): the signs of seeded hyperplanes, as one number per band."""
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.size("vec") > 0)
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(n, block, ids, units): vectors of n numbers, packed in blocks as single-precision unit vectors."""
+    id_type = dict(nodes.dtypes)["id"]
+    blocks = max(1, -(-nodes.count() // BLOCK))
+    placed = nodes.select("id", "vec", F.size("vec").alias("n"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
-        for b in batches:
-            out = []
-            for v in b.vec:
-                v = np.nan_to_num(np.asarray(v, np.float64))
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng(seed).standard_normal((bits * bands, len(v)))
-                signs = (planes[len(v)] @ v > 0).reshape(bands, bits)
-                out.append((signs @ (1 << np.arange(bits))).astype(np.int64))
-            yield pd.DataFrame({"id": b.id, "bands": out})
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.nan_to_num(np.stack([np.asarray(v, np.float64) for v in part.vec]))
+        # by the largest number first, as squares of very large and very small ones leave the range
+        big = np.abs(x).max(axis=1, keepdims=True)
+        x = np.divide(x, big, out=np.zeros_like(x), where=big > 0)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32)
+        return pd.DataFrame({"n": [part.n.iloc[0]], "block": [part.block.iloc[0]], "ids": [list(part.id)], "units": [x.tobytes()]})
 
-    return source.mapInPandas(run, f"id {dict(source.dtypes)['id']}, bands array<long>")
+    packed = placed.groupBy("n", "block").applyInPandas(pack, f"n int, block int, ids array<{id_type}>, units binary")
+    return materialize(packed.repartition(16, "n", "block"), "blocks")
 
 
-def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0.92, bits: int = BAND_BITS, bands: int = BANDS) -> DataFrame:
-    """(a, b, score), a < b: pairs of different vectors at least ``least`` alike.
+def _met(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of vectors that may be ``least`` alike; every block is held against every other."""
+    id_type = dict(nodes.dtypes)["id"]
+    packed = _blocks(nodes)
+    left, right = (packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns]) for s in "xy")
+    # not joined on n, which few values share
+    both = left.crossJoin(right).where("n_x = n_y AND block_x <= block_y")
 
-    Equal vectors are one node named by its smallest id; use a group-by on the
-    vector for the copies. Recall falls with ``least``: widen ``bands`` for less.
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, i, j, ids_x, x, ids_y, y in zip(b.n_x, b.block_x, b.block_y, b.ids_x, b.units_x, b.ids_y, b.units_y):
+                x, y = np.frombuffer(x, np.float32).reshape(-1, n), np.frombuffer(y, np.float32).reshape(-1, n)
+                for at in range(0, len(x), 256):
+                    p, q = np.divmod(np.flatnonzero(x[at : at + 256] @ y.T >= least - SLACK), len(y))
+                    p += at
+                    if i == j:
+                        p, q = p[p < q], q[p < q]
+                    if len(p):
+                        u, v = np.asarray(ids_x)[p], np.asarray(ids_y)[q]
+                        yield pd.DataFrame({"a": np.where(u < v, u, v), "b": np.where(u < v, v, u)})
+
+    return both.mapInPandas(compare, f"a {id_type}, b {id_type}")
+
+
+def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0.92) -> DataFrame:
+    """(a, b, score), a < b: all pairs of different vectors at least ``least`` alike.
+
+    Equal vectors are one node named by its smallest id; ``near_vector_members``
+    gives all ids of a node. Every vector is held against every other in blocks,
+    so the work grows with the square of the different vectors.
     """
     own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.size("vec") > 0)
     nodes = materialize(own.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "vectors")
-    keyed = materialize(signature_bands(nodes, "id", "vec", bits, bands).select("id", F.posexplode("bands").alias("band", "code")), "bands")
-    met = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), ["band", "code"]).where("a < b").select("a", "b").distinct()
+    met = materialize(_met(nodes, least), "met")
     sided = met.join(nodes.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(nodes.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    return sided.select("a", "b", F.round(cosine("va", "vb"), 6).alias("score")).where(F.col("score") >= least)
+    return sided.select("a", "b", F.round(cosine("va", "vb"), 6).alias("score")).where((F.col("score") >= least) & ~F.isnan("score"))
 
 
 def near_vector_members(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -69,7 +92,7 @@ def contradiction_candidates(chunks: DataFrame, vectors: DataFrame, least: float
     w = Window.partitionBy("doc_id").orderBy("sequence", "chunk_id")
     first = chunks.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_doc).select("chunk_id", "doc_id")
     some = materialize(vectors.join(first.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]), "first-vectors")
-    links = near_vector_pairs(some, "chunk_id", "vector", least, 6, 40).select("a", "b", "score")
+    links = near_vector_pairs(some, "chunk_id", "vector", least).select("a", "b", "score")
     members = near_vector_members(some, "chunk_id", "vector").withColumnRenamed("id", "chunk_id")
     members = materialize(members.join(first, "chunk_id").select("rep", "chunk_id", "doc_id"), "members")
     # the link of a vector to itself stands for the pairs of its copies

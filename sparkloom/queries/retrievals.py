@@ -192,6 +192,14 @@ def near_vector_pairs(spark, d):
     return pairs(v, "chunk_id", "vector")
 
 
+@query()
+def near_vector_members(spark, d):
+    from ..operators.dedup import near_vector_members as members
+
+    v = table(spark, d, "chunk_vectors").where("size(vector) = 64").select("chunk_id", "vector").dropDuplicates(["chunk_id"])
+    return members(v, "chunk_id", "vector")
+
+
 @query()
 def contradiction_candidates(spark, d):
     from ..operators.dedup import contradiction_candidates as candidates

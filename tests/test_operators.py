@@ -219,3 +219,23 @@ def test_contradictions_of_equal_vectors(spark):
     vectors = spark.createDataFrame([(c, v) for c, _, v in rows], "chunk_id long, vector array<double>")
     got = sorted((r.a, r.b, r.doc_a, r.doc_b) for r in contradiction_candidates(chunks, vectors).collect())
     assert got == [(1, 2, 10, 20), (1, 4, 10, 30), (2, 3, 20, 10), (2, 4, 20, 30), (3, 4, 10, 30)]
+
+
+def test_near_vectors_are_all_found_with_members(spark):
+    import numpy as np
+
+    from sparkloom.operators.dedup import near_vector_members, near_vector_pairs
+
+    # 6,000 pairs at a cosine of about 0.92, in one plane each: bands of signs miss some of them
+    rng = np.random.default_rng(1)
+    base, turn = rng.standard_normal((2, 6000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn -= (turn * base).sum(axis=1, keepdims=True) * base
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    other = 0.9201 * base + np.sqrt(1 - 0.9201**2) * turn
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, other]))] + [(20000, base[0].tolist()), (20001, base[0].tolist()), (20002, [1.0, 0.0]), (20003, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r.a, r.b) for r in near_vector_pairs(df, "id", "v").collect()}
+    assert got == {(i, i + 6000) for i in range(6000)}
+    reps = {r.id: r.rep for r in near_vector_members(df, "id", "v").collect()}
+    assert len(reps) == 12003 and (reps[20000], reps[20001], reps[20002]) == (0, 0, 20002) and all(reps[i] == i for i in range(12000))
