@@ -4,9 +4,11 @@ Every text gets a signature of ``SYMBOLS`` min-wise symbols of 16 bits over its
 runs of five letters or digits; two texts agree in a symbol with a probability
 equal to their alikeness. The signature is split into chunks. By the pigeonhole
 principle two signatures that differ in at most ``chunks * (errors + 1) - 1``
-symbols have a chunk that differs in at most ``errors`` symbols, so each chunk
-is indexed once for every choice of symbols that may be wrong: all pairs under
-that distance meet in at least one index. Distance counts symbols, not single
+symbols have a chunk that differs in at most ``errors`` symbols. Such chunks share
+at least ``PER_CHUNK - errors`` symbols, and of those the two rarest are among the
+``RAREST`` rarest of either chunk, whatever order stands for rarity, as long as it
+is one for all rows. So each chunk is indexed by every two of these: all pairs
+under that distance meet in at least one index. Distance counts symbols, not single
 bits: at an alikeness of 0.65 a sixth of single bits differ, and a chunk of bits
 would have to allow so many errors that each probe met percents of all rows.
 Pairs that meet are held against the signature distance, then against the
@@ -30,8 +32,10 @@ from ..plans.materialize import materialize
 #: Length of the character runs, and the fewest letters or digits of a text.
 RUN, LEAST_CHARS = 5, 200
 #: The signature: chunks of symbols of two bytes, and errors allowed in a chunk.
-CHUNKS, PER_CHUNK, ERRORS = 8, 7, 1
+CHUNKS, PER_CHUNK, ERRORS = 8, 7, 3
 SYMBOLS = CHUNKS * PER_CHUNK
+#: Symbols of a chunk that are indexed in twos, and signatures that rarity is counted on.
+RAREST, SAMPLE = ERRORS + 2, 20_000
 
 
 def normalized(content: Column) -> Column:
@@ -89,29 +93,58 @@ def _symbol(i: int, sig: str = "sig") -> Column:
     return F.substring(sig, 2 * i + 1, 2)
 
 
+def _tokens(sigs) -> np.ndarray:
+    """Symbols with their places, one number each; a row for each signature."""
+    return np.frombuffer(b"".join(sigs), ">u2").reshape(-1, SYMBOLS).astype(np.int64) + (np.arange(SYMBOLS) << 16)
+
+
 def index_keys(signed: DataFrame) -> DataFrame:
-    """(rep, key): every chunk of a signature with every choice of wrong symbols left out.
+    """(rep, q0...q3, key): every two of the rarest symbols of every chunk.
 
-    A symbol is hashed once, with its place; a key is the exclusive or of the
-    hashes it keeps, taken from that of the whole chunk.
+    Rarity is counted on a sample; it decides how many pairs meet by chance, not
+    which pairs are sure to. q0 to q3 hold the last four bits of each symbol.
     """
-    places = range(SYMBOLS)
-    hashed = signed.select("rep", *[F.xxhash64(F.lit(i), _symbol(i)).alias(f"h{i}") for i in places])
-    chunk = [[f"h{c * PER_CHUNK + i}" for i in range(PER_CHUNK)] for c in range(CHUNKS)]
-    xor = lambda names: reduce(lambda x, y: x.bitwiseXOR(y), [F.col(n) for n in names])
-    hashed = hashed.select("*", *[xor(names).alias(f"x{c}") for c, names in enumerate(chunk)])
-    keys = [
-        F.col(f"x{c}").bitwiseXOR(xor(wrong)) if wrong else F.col(f"x{c}")
-        for c, names in enumerate(chunk)
-        for wrong in combinations(names, ERRORS)
-    ]
-    return hashed.select("rep", F.explode(F.array(*keys)).alias("key"))
+    seen = [bytes(r.sig) for r in signed.select("sig").limit(SAMPLE).collect()]  # bounded by the sample
+    common = np.minimum(np.bincount(_tokens(seen).ravel(), minlength=SYMBOLS << 16), 65535).astype(np.uint16)
+    shared = signed.sparkSession.sparkContext.broadcast(common)  # one number for each possible symbol and place
+    twos = np.array(list(combinations(range(RAREST), 2)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = _tokens(batch.sig)
+            ranked = np.sort(((count[t].astype(np.int64) << 22) | t).reshape(len(t), CHUNKS, PER_CHUNK), axis=2)[:, :, :RAREST] & ((1 << 22) - 1)
+            keys = ((ranked[:, :, twos[:, 0]] << 22) | ranked[:, :, twos[:, 1]]).reshape(len(t), -1)
+            bits = np.zeros((len(t), 64), np.uint64)
+            bits[:, :SYMBOLS] = t & 15
+            quads = (bits.reshape(len(t), 4, 16) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"rep": batch.rep, **{f"q{i}": quads[:, i] for i in range(4)}, "keys": list(keys)})
+
+    rep = dict(signed.dtypes)["rep"]
+    keyed = signed.select("rep", "sig").mapInPandas(run, f"rep {rep}, q0 long, q1 long, q2 long, q3 long, keys array<long>")
+    return keyed.select("rep", "q0", "q1", "q2", "q3", F.explode("keys").alias("key"))
+
+
+def _quads_differ() -> Column:
+    """How many symbols differ in their last four bits: never more than differ at all."""
+    total = F.lit(0)
+    for i in range(4):
+        x = F.col(f"qa{i}").bitwiseXOR(F.col(f"qb{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def hamming_pairs(signed: DataFrame, most_distant: int) -> DataFrame:
-    """(a, b), a < b: all pairs of ``signed`` (rep, sig) within ``most_distant`` symbols that share an index key."""
+    """(a, b), a < b: all pairs of ``signed`` (rep, sig) within ``most_distant`` symbols."""
+    if most_distant >= CHUNKS * (ERRORS + 1):
+        raise ValueError(f"pairs beyond {CHUNKS * (ERRORS + 1) - 1} wrong symbols are not sure to meet")
     keyed = index_keys(signed)
-    met = keyed.withColumnRenamed("rep", "a").join(keyed.withColumnRenamed("rep", "b"), "key").where("a < b").select("a", "b").distinct()
+    x, y = (keyed.select(F.col("rep").alias(s), "key", *[F.col(f"q{i}").alias(f"q{s}{i}") for i in range(4)]) for s in "ab")
+    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (_quads_differ() <= most_distant)).select("a", "b").distinct()
     left = signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     right = signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     differs = reduce(lambda x, y: x + y, [(_symbol(i, "sig_a") != _symbol(i, "sig_b")).cast("int") for i in range(SYMBOLS)])

@@ -73,3 +73,25 @@ def test_very_long_text(spark):
     big = " ".join(str(rng.random()) for _ in range(40000))
     df = spark.createDataFrame([(1, big, 0, ""), (2, big + " tail", 0, "")], SCHEMA)
     assert [(r.chunk_id_a, r.chunk_id_b) for r in nd.near_duplicate_pairs(df).collect()] == [(1, 2)]
+
+
+def test_all_pairs_within_the_accepted_distance(spark):
+    """Every pair of 30 wrong symbols of 56 is met, however they lie; so is every alike pair but 1 %."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(0, 1000, 2):
+        a = [rng.randrange(65536) for _ in range(nd.SYMBOLS)]
+        b = list(a)
+        for k in rng.sample(range(nd.SYMBOLS), 30):
+            b[k] ^= 1 + rng.randrange(65535)
+        rows += [(i + n, b"".join(x.to_bytes(2, "big") for x in s)) for n, s in enumerate((a, b))]
+    got = {(r.a, r.b) for r in nd.hamming_pairs(spark.createDataFrame(rows, "rep long, sig binary"), 30).collect()}
+    assert got == {(i, i + 1) for i in range(0, 1000, 2)}
+
+    rng, texts = random.Random(5), []
+    for i in range(60):
+        base = " ".join(f"term{rng.randrange(4000)}" for _ in range(80))
+        texts += [(100 * i + k, edited(base, s, rng), 1, "x") for k, s in enumerate((0, 0.02, 0.05, 0.1, 0.15))]
+    found = {(r.chunk_id_a, r.chunk_id_b) for r in nd.near_duplicate_pairs(spark.createDataFrame(texts, SCHEMA)).collect()}
+    want = brute(texts)
+    assert not found - want and len(want - found) <= 0.01 * len(want)
