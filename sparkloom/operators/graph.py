@@ -28,23 +28,30 @@ def graph_stats(edges: DataFrame, kind: str = "relation_type") -> DataFrame:
     return by_kind.crossJoin(F.broadcast(nodes.agg(F.count("node").alias("nodes"))))
 
 
-def hops_from(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
+def hops_from(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(origin, node, hops): breadth-first distance from each start (origin), with the path's last step.
 
-    A round is one join of the frontier with the edges and an anti join with what
-    was reached; it ends when the frontier is empty.
+    A round is one join of the frontier with the edges and an anti join with the
+    frontier and the one before it, as edges go both ways; it ends when the
+    frontier is empty, or after ``most`` rounds where that is given.
     """
     both = materialize(undirected(edges), "edges")
     front = materialize(start.select("origin", F.col("origin").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(dict(both.dtypes)["src"]).alias("before")).distinct(), "frontier")
-    reached = front
-    for hop in range(1, most + 1):
+    reached, latest, last, hop = None, front, front, 0
+    while most is None or hop < most:
+        hop += 1
         step = front.join(both, front["node"] == both["src"]).groupBy("origin", "dst").agg(F.min("src").alias("before"))
-        step = step.select("origin", F.col("dst").alias("node"), F.lit(hop).alias("hops"), "before").join(reached.select("origin", "node"), ["origin", "node"], "left_anti")
-        front = materialize(step, "frontier")
+        known = front.select("origin", "node").unionByName(last.select("origin", "node"))
+        step = step.select("origin", F.col("dst").alias("node"), F.lit(hop).alias("hops"), "before").join(known, ["origin", "node"], "left_anti")
+        last, front = front, materialize(step, "frontier")
         if not front.limit(1).count():
             break
-        reached = reached.unionByName(front)
-    return reached
+        latest = latest.unionByName(front)
+        if hop % 32 == 0:  # so that plans stay short
+            latest = materialize(latest, "reached")
+            reached = latest if reached is None else reached.unionByName(latest)
+            latest = latest.limit(0)
+    return latest if reached is None else reached.unionByName(latest)
 
 
 def shortest_path(edges: DataFrame, source, target) -> list:
@@ -86,7 +93,7 @@ def simple_paths(edges: DataFrame, source, target, most: int = 5) -> DataFrame:
     return done
 
 
-def components(edges: DataFrame, most: int = 64) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): connected components named by their smallest node.
 
     Every round a node takes the smallest label of itself and its neighbours, and
@@ -94,7 +101,8 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     """
     both = materialize(undirected(edges), "edges")
     labels = materialize(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")), "labels")
-    for _ in range(most):
+    done = 0
+    while True:
         near = both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
         step = labels.join(near.withColumnRenamed("src", "node"), "node").select("node", "component", F.least("component", "c").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
@@ -102,8 +110,10 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
         changed = step.where("next <> component").limit(1).count()
         labels = step.select("node", F.col("next").alias("component"))
         if not changed:
-            break
-    return labels
+            return labels
+        done += 1
+        if most is not None and done >= most:
+            raise RuntimeError(f"components have not settled after {most} rounds")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

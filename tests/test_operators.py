@@ -239,3 +239,12 @@ def test_near_vectors_are_all_found_with_members(spark):
     assert got == {(i, i + 6000) for i in range(6000)}
     reps = {r.id: r.rep for r in near_vector_members(df, "id", "v").collect()}
     assert len(reps) == 12003 and (reps[20000], reps[20001], reps[20002]) == (0, 0, 20002) and all(reps[i] == i for i in range(12000))
+
+
+def test_graph_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(67)], "src long, dst long").coalesce(1)
+    reached = graph.hops_from(chain, spark.createDataFrame([(0,)], "origin long"))
+    assert sorted((r.node, r.hops) for r in reached.collect()) == [(i, i) for i in range(68)]
+    with pytest.raises(RuntimeError):
+        graph.components(chain, 1)
+    assert {r.component for r in graph.components(chain).collect()} == {0}
