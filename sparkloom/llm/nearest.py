@@ -1,13 +1,21 @@
 """Problem 5: nearest vectors by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``sample_rows``), every vector is
-indexed. A query walks the tree best bin first: a priority queue holds the nodes
-seen, the one whose centre is most similar is taken next, and the walk goes on
-while that is within a margin of the first leaf's. The margin, and with it the
-number of leaves visited, is widened on the sample until the recall asked for is
-reached. Vectors meet their visitors in a grid of cells per leaf (blocks of
-vectors by blocks of visitors), so a leaf that holds a third of all rows is
-spread over many tasks. Equal vectors are searched once and their lists shared.
+The tree has two parts. The upper one routes: its leaves are partitions of about
+``partition_rows`` vectors, their number grows with the rows. It is fitted on a
+bounded sample (``SAMPLE_ROWS``); partitions that turn out too large are split
+further by a level of k-means that is fitted for each of them on the cluster. The
+lower part is fitted inside the task that holds a partition, down to leaves of
+``LEAF_ROWS`` vectors, so what a vector is compared with does not grow with the
+table as it would in leaves of a fixed number.
+
+A query walks either part best bin first: a priority queue holds the nodes seen,
+the one whose centre is most similar is taken next, and the walk goes on while
+that is within a margin of the first leaf's. The margins, and with them the number
+of leaves visited, are widened on samples until the recall asked for is reached.
+Every vector is indexed. Vectors meet their visitors in a grid of cells per
+partition (blocks of vectors by blocks of visitors), so one that cannot be split
+and holds a third of all rows is spread over many tasks. Equal vectors are
+searched once and their lists shared.
 """
 
 from __future__ import annotations
@@ -23,8 +31,15 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 
-#: Vectors and visitors in one cell of a leaf's grid.
-CELL_DATA, CELL_QUERIES = 4096, 16384
+#: Vectors of a partition, about; the least partitions, for the sake of parallel
+#: work; vectors of a leaf inside a partition.
+PARTITION_ROWS, LEAST_PARTITIONS, LEAF_ROWS = 131_072, 16, 256
+#: Vectors the routing tree is fitted on: this many per partition, between these
+#: bounds; those that the lower part, or a further split, of a partition is fitted on.
+PER_PARTITION, SAMPLE_ROWS, LOCAL_ROWS = 64, (8192, 65_536), 16_384
+#: Nodes of the routing tree, which all executors hold (about 330 bytes each);
+#: partitions are not split beyond that and become grids.
+MOST_NODES = 262_144
 #: Rows that may be broadcast (three longs each); beyond it a shuffled join runs.
 SMALL_ROWS = 50_000
 PLACES = 6
@@ -57,7 +72,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return (x @ centers.T).argmax(axis=1)
 
 
-def fit_tree(sample: np.ndarray, branching: int = 16, leaf_rows: int = 128, seed: int = 7) -> Tree:
+def fit_tree(sample: np.ndarray, branching: int = 16, leaf_rows: float = 128, seed: int = 7) -> Tree:
     """Hierarchical spherical k-means: nodes with more than ``leaf_rows`` are split."""
     rng = np.random.default_rng(seed)
     x = _unit(sample).astype(np.float32)
@@ -74,7 +89,7 @@ def fit_tree(sample: np.ndarray, branching: int = 16, leaf_rows: int = 128, seed
             children[parent][slot] = node
         parts = []
         if len(rows) > leaf_rows:
-            label = _kmeans(x[rows], min(branching, max(2, len(rows) // leaf_rows)), rng)
+            label = _kmeans(x[rows], min(branching, max(2, int(len(rows) // leaf_rows))), rng)
             parts = [rows[label == j] for j in np.unique(label)]
         if len(parts) < 2:
             leaf[node], leaves = leaves, leaves + 1
@@ -83,8 +98,31 @@ def fit_tree(sample: np.ndarray, branching: int = 16, leaf_rows: int = 128, seed
     return Tree(np.array(centers, np.float32), np.array(children, np.int32), np.array(leaf, np.int32), leaves)
 
 
+def graft(tree: Tree, parts: dict[int, Tree]) -> Tree:
+    """The tree with leaves replaced by trees of their own; leaves are numbered anew."""
+    centers, children, leaf = [tree.centers], [tree.children.copy()], [tree.leaf.copy()]
+    at, n = {int(tree.leaf[i]): i for i in np.flatnonzero(tree.leaf >= 0)}, len(tree.centers)
+    for number, part in sorted(parts.items()):
+        if part.leaves > 1:
+            # the part's root stands where the leaf was, its other nodes follow
+            below = np.where(part.children > 0, part.children + n - 1, -1)
+            children[0][at[number]], leaf[0][at[number]] = below[0], -1
+            centers.append(part.centers[1:])
+            children.append(below[1:])
+            leaf.append(part.leaf[1:])
+            n += len(part.centers) - 1
+    leaf = np.concatenate(leaf)
+    ends = leaf >= 0
+    leaf[ends] = np.arange(ends.sum())
+    return Tree(np.concatenate(centers), np.concatenate(children), leaf.astype(np.int32), int(ends.sum()))
+
+
 def best_bins(unit: np.ndarray, tree: Tree, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every visit; the visits of a row are in order, all rows walk in step."""
+    step = max(64, min(4096, 2**23 // len(tree.centers)))
+    if len(unit) > step:
+        parts = [best_bins(unit[i : i + step], tree, margin) for i in range(0, len(unit), step)]
+        return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([v for _, v in parts])
     n = len(unit)
     scores = unit.astype(np.float32) @ tree.centers.T
     rows, stop = np.arange(n), np.full(n, -np.inf, np.float32)
@@ -141,13 +179,15 @@ def _depths(unit: np.ndarray, tree: Tree) -> np.ndarray:
     return by_leaf.max(axis=1, keepdims=True) - by_leaf
 
 
-def calibrate_margin(sample: np.ndarray, tree: Tree, k: int, recall: float, least_cosine: float | None, queries: int = 1024, seed: int = 11) -> float:
+def calibrate_margin(
+    sample: np.ndarray, tree: Tree, k: int, recall: float, least_cosine: float | None, queries: int = 1024, either: bool = True, seed: int = 11
+) -> float:
     """The margin that reaches ``recall`` on the sample.
 
     Without a least cosine the k nearest in the sample are searched for; they lie
     farther than the k nearest of all rows, so the answer is on the safe side.
     With one, partners are made, spread evenly from that cosine to one, and a pair
-    counts as found when either of the two visits the other.
+    counts as found when the one visits the other, or with ``either`` one of the two.
     """
     if tree.leaves < 2:
         return 0.0
@@ -163,33 +203,80 @@ def calibrate_margin(sample: np.ndarray, tree: Tree, k: int, recall: float, leas
         noise = rng.standard_normal(q.shape)
         noise -= (noise * q).sum(axis=1, keepdims=True) * q
         partner = c * q + np.sqrt(1 - c**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-        need = np.minimum(deep[at, _home(partner, tree)], _depths(partner, tree)[at, _home(q, tree)])
+        need = deep[at, _home(partner, tree)]
+        if either:
+            need = np.minimum(need, _depths(partner, tree)[at, _home(q, tree)])
     return float(np.quantile(need, recall, method="higher")) + 1e-6 if len(need) else 0.0
 
 
-def _top(s: np.ndarray, own: np.ndarray, other: np.ndarray, unit: np.ndarray, others: np.ndarray, k: int, least: float) -> tuple:
-    """(row, column, cosine) of the k best of each row; ``other`` ascends.
+def _first_k(ids: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each id: highest value, then smaller other; repeated pairs count once."""
+    order = np.lexsort((other, -value, ids))
+    ids, other, value = ids[order], other[order], value[order]
+    fresh = np.r_[True, (ids[1:] != ids[:-1]) | (other[1:] != other[:-1])][: len(ids)]
+    ids, other, value = ids[fresh], other[fresh], value[fresh]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+    keep = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)])) < k
+    return ids[keep], other[keep], value[keep]
 
-    ``s`` holds cosines in single precision; those that may count are computed
-    again in double precision and rounded.
-    """
+
+def _close(s: np.ndarray, own: np.ndarray, other: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) that may be among the k best of a row; ``s`` holds cosines in single precision."""
     mask = (s >= least - 1e-4) & (own[:, None] != other[None, :])
     if mask.sum() > 4 * k * len(s):  # dense: keep what may be among the k best
-        edge = np.partition(np.where(mask, s, -3), max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+        at = max(0, s.shape[1] - k)
+        edge = np.partition(np.where(mask, s, -3), at, axis=1)[:, at]
         mask &= s >= edge[:, None] - np.float32(1e-5)
-    r, c = np.nonzero(mask)
-    v = np.empty(len(r))
-    for i in range(0, len(r), 65536):
-        v[i : i + 65536] = np.einsum("ij,ij->i", unit[r[i : i + 65536]], others[c[i : i + 65536]])
-    v = np.round(v, PLACES)
-    keep = v >= least
-    r, c, v = r[keep], c[keep], v[keep]
-    order = np.lexsort((c, -v, r))
-    r, c, v = r[order], c[order], v[order]
-    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, int)
-    nth = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)])) if len(r) else r
-    keep = nth < k
-    return r[keep], c[keep], v[keep]
+    return np.nonzero(mask)
+
+
+def cell_lists(
+    data: np.ndarray, data_ids: np.ndarray, asking: np.ndarray, asking_ids: np.ndarray,
+    k: int, least_cosine: float | None, recall: float, both_ways: bool, leaf_rows: int = LEAF_ROWS,
+) -> tuple[np.ndarray, ...]:
+    """(id, other, cosine): the k best that the askers find in a cell's data, through a tree of its own.
+
+    With ``both_ways`` the data keep their best askers, too. Candidates in single
+    precision are computed again in double precision and rounded.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(data) or not len(asking):
+        return none
+    least = -2.0 if least_cosine is None else least_cosine
+    d, q = _unit(data).astype(np.float32), _unit(asking).astype(np.float32)
+    sample = data[np.random.default_rng(5).choice(len(data), min(len(data), LOCAL_ROWS), replace=False)]
+    tree = fit_tree(sample, leaf_rows=max(4.0, leaf_rows * len(sample) / len(data)))
+    margin = calibrate_margin(sample, tree, k, recall, least_cosine, 512, either=False)
+    home = _home(d, tree)
+    row, leaf = best_bins(q, tree, margin)
+    by_home, by_leaf = np.argsort(home, kind="stable"), np.argsort(leaf, kind="stable")
+    home_at, leaf_at = (np.searchsorted(x, np.arange(tree.leaves + 1)) for x in (home[by_home], leaf[by_leaf]))
+    held, size = [none], 0
+    for bin_ in range(tree.leaves):
+        c, visitors = by_home[home_at[bin_] : home_at[bin_ + 1]], row[by_leaf[leaf_at[bin_] : leaf_at[bin_ + 1]]]
+        for start in range(0, len(visitors) if len(c) else 0, 2048):
+            r = visitors[start : start + 2048]
+            for at in range(0, len(c), 8192):
+                cc = c[at : at + 8192]
+                s = q[r] @ d[cc].T
+                i, j = _close(s, asking_ids[r], data_ids[cc], k, least)
+                if both_ways:
+                    j2, i2 = _close(np.ascontiguousarray(s.T), data_ids[cc], asking_ids[r], k, least)
+                    both = np.unique(np.concatenate([i, i2]) * len(cc) + np.concatenate([j, j2]))
+                    i, j = np.divmod(both, len(cc))
+                for x in range(0, len(i), 65536):
+                    a, b = r[i[x : x + 65536]], cc[j[x : x + 65536]]
+                    v = np.round(np.einsum("ij,ij->i", _unit(asking[a]), _unit(data[b])), PLACES)
+                    a, b, v = asking_ids[a[v >= least]], data_ids[b[v >= least]], v[v >= least]
+                    held.append((a, b, v))
+                    size += len(a)
+                    if both_ways:
+                        held.append((b, a, v))
+                        size += len(a)
+                if size > 2**21:
+                    held = [_first_k(*(np.concatenate(x) for x in zip(*held)), k)]
+                    size = 0
+    return _first_k(*(np.concatenate(x) for x in zip(*held)), k)
 
 
 def _decode(column: pa.Array) -> np.ndarray:
@@ -209,9 +296,61 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str, dim: int = 64
     return good.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
+def routing_tree(vectors: DataFrame, total: int, dim: int, partition_rows: int) -> tuple[Tree, np.ndarray]:
+    """(tree, sample): a tree whose leaves hold about ``partition_rows`` of ``vectors`` (id, v).
+
+    Leaves that hold more than one and a half times as many are split further by
+    trees that the cluster fits, each on a bounded sample of the leaf's own rows,
+    until none is left, none can be split or the tree has ``MOST_NODES``.
+    """
+    partitions = max(LEAST_PARTITIONS, -(-total // partition_rows))
+    wanted = min(SAMPLE_ROWS[1], max(SAMPLE_ROWS[0], PER_PARTITION * partitions))
+
+    def some_of(df: DataFrame, step: int) -> np.ndarray:
+        rows = df.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(4 * wanted).toArrow()
+        return _flat((rows if rows.num_rows else df.select("v").limit(1).toArrow()).column("v").combine_chunks(), dim)
+
+    sample = some_of(vectors, max(1, total // wanted))
+    tree = fit_tree(sample, leaf_rows=max(PER_PARTITION / 4, len(sample) / partitions))
+    tried: set[bytes] = set()
+    while total > LEAST_PARTITIONS * partition_rows and len(tree.centers) < MOST_NODES:
+        now = tree
+
+        def homes(batches: Iterator[pa.RecordBatch], now: Tree = now) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                leaf = _home(_unit(_flat(b.column("v"), dim)), now) if b.num_rows else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(leaf.astype(np.int32))], names=["id", "v", "leaf"])
+
+        housed = vectors.mapInArrow(homes, "id long, v array<float>, leaf int")
+        counts = {r["leaf"]: r["count"] for r in housed.groupBy("leaf").count().collect()}  # at most one row a node
+        where = {int(now.leaf[i]): now.centers[i].tobytes() for i in np.flatnonzero(now.leaf >= 0)}
+        large = {leaf: n for leaf, n in counts.items() if n > partition_rows * 3 // 2 and where[leaf] not in tried}
+        if not large:
+            break
+        tried |= {where[leaf] for leaf in large}
+
+        def fit(batches: Iterator[pa.RecordBatch], large: dict[int, int] = large) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(list(batches))
+            leaf, x = t.column("leaf")[0].as_py(), _flat(t.column("v").combine_chunks(), dim)
+            part = fit_tree(x, leaf_rows=max(4.0, len(x) * partition_rows / large[leaf]))
+            arrays = [pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in ((part.centers, "<f4"), (part.children, "<i4"), (part.leaf, "<i4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), *arrays], names=["leaf", "centers", "children", "ends"])
+
+        steps = vectors.sparkSession.createDataFrame([(leaf, max(1, n // LOCAL_ROWS)) for leaf, n in large.items()], "leaf int, step long")
+        # at most one row a node of the tree
+        drawn = housed.join(F.broadcast(steps), "leaf").where(F.pmod(F.xxhash64("id"), "step") == 0).select("leaf", "v")
+        fitted = drawn.groupBy("leaf").applyInArrow(fit, "leaf int, centers binary, children binary, ends binary").collect()
+        parts = {}
+        for r in fitted:
+            ends = np.frombuffer(r.ends, "<i4")
+            parts[r.leaf] = Tree(np.frombuffer(r.centers, "<f4").reshape(len(ends), -1), np.frombuffer(r.children, "<i4").reshape(len(ends), -1), ends, int((ends >= 0).sum()))
+        tree = graft(tree, parts)
+    return tree, sample
+
+
 def nearest(
     table: DataFrame, id_col: str, vector_col: str, k: int = 5, least_cosine: float | None = None, recall: float = 0.99,
-    queries: DataFrame | None = None, dim: int = 64, sample_rows: int = 8192, leaf_rows: int = 128,
+    queries: DataFrame | None = None, dim: int = 64, partition_rows: int = PARTITION_ROWS, leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """(id, other, cosine): of every usable vector its k most similar others.
 
@@ -228,15 +367,14 @@ def nearest(
     total = vectors.count()
     if total == 0:
         return spark.createDataFrame([], schema)
-    step = max(1, total // sample_rows)
-    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(4 * sample_rows).toArrow()
-    sample = _flat((some if some.num_rows else vectors.select("v").limit(1).toArrow()).column("v").combine_chunks(), dim)
-    tree = fit_tree(sample, leaf_rows=leaf_rows)
-    margin = calibrate_margin(sample, tree, k, recall, least_cosine)
+    level = (1 + recall) / 2  # of either part of the tree
+    tree, sample = routing_tree(vectors, total, dim, partition_rows)
+    margin = calibrate_margin(sample, tree, k, level, least_cosine)
     asks = F.lit(True)
-    if queries is not None:
-        wanted = queries.select("id").distinct().withColumn("asked", F.lit(True))
-        vectors = vectors.join(wanted, "id", "left")
+    if queries is not None:  # whoever holds the vector of a query asks, so that copies may stand for it
+        wanted = queries.select("id").distinct()
+        asked = vectors.join(wanted, "id").select(F.xxhash64("v").alias("key")).distinct().withColumn("asked", F.lit(True))
+        vectors = vectors.withColumn("key", F.xxhash64("v")).join(asked, "key", "left")
         asks = F.coalesce("asked", F.lit(False))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,18 +405,12 @@ def nearest(
     stand = placed.select("id", "h", "row").join(reps.select(F.col("rep").alias("id"), "h"), ["id", "h"]).groupBy("id").agg(F.min("row").alias("row"))
     spare = materialize(placed.select("row").join(stand.select("row"), "row", "left_anti"), "spare-rows")
     search = placed.select("id", "vec", "asks", "bins", "row").join(F.broadcast(spare) if spare.count() <= SMALL_ROWS else spare, "row", "left_anti")
-    if queries is not None:  # a copy's question is asked by the row that stands for it
-        asked = copies.join(wanted, "id").select(F.col("rep").alias("id")).distinct().withColumn("too", F.lit(True))
-        missing = search.join(asked, "id").where("NOT asks").select("id")
-        if missing.limit(1).count():
-            raise_queries = missing.unionByName(queries.select("id")).distinct()
-            result = nearest(table, id_col, vector_col, k, least_cosine, recall, raise_queries, dim, sample_rows, leaf_rows)
-            return result.join(queries.select("id").distinct(), "id", "left_semi")
+    cell_rows = max(1, partition_rows * 3 // 2)
     visit = search.select("id", "vec", "asks", F.posexplode("bins").alias("nth", "leaf"))
     load = search.select("asks", F.posexplode("bins").alias("nth", "leaf")).groupBy("leaf")
     load = load.agg(F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("d"), F.sum(F.col("asks").cast("int")).alias("q"))
-    load = load.select("leaf", F.ceil(F.col("d") / CELL_DATA).alias("db"), F.ceil(F.col("q") / CELL_QUERIES).alias("qb")).where("db > 1 OR qb > 1")
-    # one row a leaf, and there are no more leaves than sample rows: a proven bound
+    load = load.select("leaf", F.ceil(F.col("d") / cell_rows).alias("db"), F.ceil(F.col("q") / cell_rows).alias("qb")).where("db > 1 OR qb > 1")
+    # one row a partition, and those are no more than the nodes of the tree: a proven bound
     grid = [(r.leaf, r.db, r.qb) for r in load.collect()]
     grid = spark.createDataFrame(grid, "leaf int, db long, qb long")
     visit = visit.join(F.broadcast(grid), "leaf", "left")
@@ -293,26 +425,18 @@ def nearest(
     as_query = F.when(F.col("asks"), F.transform(span(db), lambda x: cell(x, pick(qb), 2))).otherwise(none)
     cells = F.when((db == 1) & (qb == 1), single).otherwise(F.concat(as_data, as_query))
     rows = visit.select("id", "vec", "leaf", F.explode(cells).alias("c")).select("id", "vec", "leaf", "c.x", "c.y", "c.role")
-    floor = -2.0 if least_cosine is None else least_cosine
     both_ways = queries is None
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).combine_chunks().sort_by("id")
         ids, role = t.column("id").to_numpy(), t.column("role").to_numpy()
-        unit = _unit(_decode(t.column("vec").combine_chunks()))
+        raw = _decode(t.column("vec").combine_chunks())
+        del t
         d, q = (role & 1) > 0, (role & 2) > 0
-        data, data_ids, single = unit[d], ids[d], unit[d].astype(np.float32)
-        askers, asker_ids = unit[q], ids[q]
-        for start in range(0, len(askers) if len(data) else 0, 512):
-            some, some_ids = askers[start : start + 512], asker_ids[start : start + 512]
-            s = some.astype(np.float32) @ single.T
-            r, c, v = _top(s, some_ids, data_ids, some, data, k, floor)
-            parts = [(some_ids[r], data_ids[c], v)]
-            if both_ways:
-                r, c, v = _top(np.ascontiguousarray(s.T), data_ids, some_ids, data, some, k, floor)
-                parts.append((data_ids[r], some_ids[c], v))
-            a, b, v = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v)], names=["id", "other", "cosine"])
+        a, b, v = cell_lists(raw[d], ids[d], raw[q], ids[q], k, least_cosine, level, both_ways, leaf_rows)
+        for at in range(0, len(a), 65536):
+            part = slice(at, at + 65536)
+            yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(v[part])], names=["id", "other", "cosine"])
 
     met = rows.groupBy("leaf", "x", "y").applyInArrow(meet, schema)
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")

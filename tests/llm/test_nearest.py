@@ -54,13 +54,48 @@ def test_copies_share_their_lists(spark):
     assert lists(nn.nearest(table(spark, ids, x), "id", "v", dim=8, queries=asked)) == {20: brute(ids, x)[20]}
 
 
-def test_cells_of_a_split_leaf_give_the_same(spark, monkeypatch):
+def test_cells_of_a_split_leaf_give_the_same(spark):
     rng = np.random.default_rng(2)
     x = (rng.standard_normal(8) + 0.05 * rng.standard_normal((90, 8))).astype(np.float32)
     ids = list(range(1, 91))
-    monkeypatch.setattr(nn, "CELL_DATA", 16)
-    monkeypatch.setattr(nn, "CELL_QUERIES", 32)
-    assert lists(nn.nearest(table(spark, ids, x), "id", "v", dim=8)) == brute(ids, x)
+    assert lists(nn.nearest(table(spark, ids, x), "id", "v", dim=8, partition_rows=10, leaf_rows=100, recall=1.0)) == brute(ids, x)
+
+
+def test_partitions_stay_bounded_however_many_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 8))
+    x = np.concatenate([base + 0.2 * rng.standard_normal(base.shape) for _ in range(80)]).astype(np.float32)
+    df = table(spark, list(range(len(x))), x)
+    vectors = nn.usable_vectors(df, "id", "v", 8).cache()
+    for rows in (16, 64):
+        tree, _ = nn.routing_tree(vectors, len(x), 8, rows)
+        homes = np.bincount(nn._home(nn._unit(x), tree), minlength=tree.leaves)
+        assert homes.sum() == len(x)
+        assert np.quantile(homes, 0.99) <= 1.5 * rows
+        assert len(x) / rows / 2 <= tree.leaves <= 12 * len(x) / rows
+
+
+def test_a_third_in_one_place_through_a_deep_tree(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((200, 8))
+    near = rng.standard_normal(8) + 1e-3 * rng.standard_normal((200, 8))
+    x = np.concatenate([base, base + 0.1 * rng.standard_normal(base.shape), near]).astype(np.float32)
+    ids = list(range(1, len(x) + 1))
+    got = lists(nn.nearest(table(spark, ids, x), "id", "v", dim=8, partition_rows=20, leaf_rows=8, least_cosine=0.9, recall=0.995))
+    want = brute(ids, x, least=0.9)
+    hits = sum(len(set(want[i]) & set(got.get(i, []))) for i in ids)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+
+
+def test_recall_on_the_pairs_of_the_data(spark, small):
+    table_ = spark.read.parquet(f"{small.replace('0.001', '0.01')}/chunk_vectors.parquet")
+    rows = nn.usable_vectors(table_, "chunk_id", "vector").groupBy("id").agg({"v": "min"}).collect()
+    by_id = {r[0]: r[1] for r in rows}
+    ids = sorted(by_id)
+    want = {(min(i, j), max(i, j)) for i, js in brute(ids, [by_id[i] for i in ids], least=0.85).items() for j in js}
+    got = {(r.id_a, r.id_b) for r in nn.similar_pairs({"c": (table_, "chunk_id", "vector")}).collect()}
+    assert len(want) > 100
+    assert len(want & got) >= 0.95 * len(want)
 
 
 def test_unusable_repeated_and_empty(spark):
