@@ -33,7 +33,7 @@ from ..plans.materialize import materialize
 
 #: Vectors of a partition, about; the least partitions, for the sake of parallel
 #: work; vectors of a leaf inside a partition.
-PARTITION_ROWS, LEAST_PARTITIONS, LEAF_ROWS = 131_072, 16, 256
+PARTITION_ROWS, LEAST_PARTITIONS, LEAF_ROWS = 131_072, 16, 512
 #: Vectors the routing tree is fitted on: this many per partition, between these
 #: bounds; those that the lower part, or a further split, of a partition is fitted on.
 PER_PARTITION, SAMPLE_ROWS, LOCAL_ROWS = 64, (8192, 65_536), 16_384
@@ -220,14 +220,24 @@ def _first_k(ids: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> t
     return ids[keep], other[keep], value[keep]
 
 
-def _close(s: np.ndarray, own: np.ndarray, other: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) that may be among the k best of a row; ``s`` holds cosines in single precision."""
-    mask = (s >= least - 1e-4) & (own[:, None] != other[None, :])
-    if mask.sum() > 4 * k * len(s):  # dense: keep what may be among the k best
-        at = max(0, s.shape[1] - k)
-        edge = np.partition(np.where(mask, s, -3), at, axis=1)[:, at]
-        mask &= s >= edge[:, None] - np.float32(1e-5)
-    return np.nonzero(mask)
+def _close(s: np.ndarray, own: np.ndarray, other: np.ndarray, k: int, least: float, both_ways: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) that may be among the k best of a row, or with ``both_ways`` of a column.
+
+    ``s`` holds cosines in single precision. Where few reach ``least`` all of them are returned.
+    """
+    worth = s >= np.float32(least - 1e-4)
+    if np.count_nonzero(worth) > 4 * k * max(s.shape):
+        keep = np.zeros_like(worth)
+        worth &= own[:, None] != other[None, :]
+        held = np.where(worth, s, np.float32(-3))
+        for axis in (1, 0) if both_ways else (1,):
+            at = max(0, s.shape[axis] - k)
+            edge = np.take(np.partition(held, at, axis=axis), [at], axis=axis)
+            keep |= s >= edge - np.float32(1e-5)
+        worth &= keep
+    i, j = np.divmod(np.flatnonzero(worth), s.shape[1])
+    different = own[i] != other[j]
+    return i[different], j[different]
 
 
 def cell_lists(
@@ -259,11 +269,7 @@ def cell_lists(
             for at in range(0, len(c), 8192):
                 cc = c[at : at + 8192]
                 s = q[r] @ d[cc].T
-                i, j = _close(s, asking_ids[r], data_ids[cc], k, least)
-                if both_ways:
-                    j2, i2 = _close(np.ascontiguousarray(s.T), data_ids[cc], asking_ids[r], k, least)
-                    both = np.unique(np.concatenate([i, i2]) * len(cc) + np.concatenate([j, j2]))
-                    i, j = np.divmod(both, len(cc))
+                i, j = _close(s, asking_ids[r], data_ids[cc], k, least, both_ways)
                 for x in range(0, len(i), 65536):
                     a, b = r[i[x : x + 65536]], cc[j[x : x + 65536]]
                     v = np.round(np.einsum("ij,ij->i", _unit(asking[a]), _unit(data[b])), PLACES)
