@@ -8,7 +8,10 @@ symbols have a chunk that differs in at most ``errors`` symbols. Such chunks sha
 at least ``PER_CHUNK - errors`` symbols, and of those the two rarest are among the
 ``RAREST`` rarest of either chunk, whatever order stands for rarity, as long as it
 is one for all rows. So each chunk is indexed by every two of these: all pairs
-under that distance meet in at least one index. Distance counts symbols, not single
+under that distance meet in at least one index. A key that many texts share, as
+texts made from one template do, is not one group: whoever holds it is indexed by
+it together with one more symbol, and as many of the rarest of those that are left
+as make sure that two texts under the distance share one (prefix filtering). Distance counts symbols, not single
 bits: at an alikeness of 0.65 a sixth of single bits differ, and a chunk of bits
 would have to allow so many errors that each probe met percents of all rows.
 Pairs that meet are held against the signature distance, then against the
@@ -36,6 +39,8 @@ CHUNKS, PER_CHUNK, ERRORS = 8, 7, 3
 SYMBOLS = CHUNKS * PER_CHUNK
 #: Symbols of a chunk that are indexed in twos, and signatures that rarity is counted on.
 RAREST, SAMPLE = ERRORS + 2, 20_000
+#: A key that this many signatures of the sample have is shared by many.
+MANY = 8
 
 
 def normalized(content: Column) -> Column:
@@ -98,43 +103,82 @@ def _tokens(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), ">u2").reshape(-1, SYMBOLS).astype(np.int64) + (np.arange(SYMBOLS) << 16)
 
 
-def index_keys(signed: DataFrame) -> DataFrame:
-    """(rep, q0...q3, key): every two of the rarest symbols of every chunk.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
-    Rarity is counted on a sample; it decides how many pairs meet by chance, not
-    which pairs are sure to. q0 to q3 hold the last four bits of each symbol.
-    """
-    seen = [bytes(r.sig) for r in signed.select("sig").limit(SAMPLE).collect()]  # bounded by the sample
-    common = np.minimum(np.bincount(_tokens(seen).ravel(), minlength=SYMBOLS << 16), 65535).astype(np.uint16)
-    shared = signed.sparkSession.sparkContext.broadcast(common)  # one number for each possible symbol and place
+
+def _ranked(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The tokens of each chunk by rarity, the rarest first."""
+    order = (common[tokens].astype(np.int64) << 22) | tokens
+    return np.sort(order.reshape(len(tokens), CHUNKS, PER_CHUNK), axis=2) & ((1 << 22) - 1)
+
+
+def _keys(ranked: np.ndarray) -> np.ndarray:
+    """Every two of the rarest tokens of each chunk, as one number; a row for each signature."""
     twos = np.array(list(combinations(range(RAREST), 2)))
+    return ((ranked[:, :, twos[:, 0]] << 22) | ranked[:, :, twos[:, 1]]).reshape(len(ranked), -1)
+
+
+def index_keys(signed: DataFrame, most_distant: int) -> DataFrame:
+    """(rep, q0, q1, key): every two of the rarest symbols of every chunk, shared ones with one more.
+
+    What is rare and what is shared by many is counted on a sample drawn by hash;
+    that decides how many pairs meet by chance, not which pairs are sure to. q0 and
+    q1 hold the last two bits of each symbol.
+    """
+    step = max(1, signed.count() // SAMPLE)
+    drawn = signed.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).select("sig").limit(4 * SAMPLE)
+    tokens = _tokens([bytes(r.sig) for r in drawn.collect()])  # bounded by the sample
+    common = np.minimum(np.bincount(tokens.ravel(), minlength=SYMBOLS << 16), 65535).astype(np.uint16)
+    keys, counts = np.unique(_keys(_ranked(tokens, common)), return_counts=True) if len(tokens) else (np.empty(0, np.int64), np.empty(0, int))
+    # one number for each possible symbol and place; shared keys are at most 80 / MANY for each of the sample
+    shared = signed.sparkSession.sparkContext.broadcast((common, keys[counts >= MANY]))
+    # two texts agree in SYMBOLS - most_distant places at least, two of them in the key
+    rest = SYMBOLS - 2
+    prefix = min(rest, rest - (SYMBOLS - most_distant - 2) + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = shared.value
+        common, many = shared.value
         for batch in batches:
             if not len(batch):
                 continue
             t = _tokens(batch.sig)
-            ranked = np.sort(((count[t].astype(np.int64) << 22) | t).reshape(len(t), CHUNKS, PER_CHUNK), axis=2)[:, :, :RAREST] & ((1 << 22) - 1)
-            keys = ((ranked[:, :, twos[:, 0]] << 22) | ranked[:, :, twos[:, 1]]).reshape(len(t), -1)
+            ranked = _ranked(t, common)
+            keys = _keys(ranked)
+            row, at = np.nonzero(np.isin(keys, many)) if len(many) else (np.empty(0, int), np.empty(0, int))
+            plain = np.ones(keys.shape, bool)
+            plain[row, at] = False
+            rows, out = [np.nonzero(plain)[0]], [_mixed(keys[plain]).view(np.int64)]
+            by_rarity = np.sort((common[t].astype(np.int64) << 22) | t, axis=1) & ((1 << 22) - 1)
+            for start in range(0, len(row), 8192):
+                r, key = row[start : start + 8192], keys[row[start : start + 8192], at[start : start + 8192]]
+                mine = by_rarity[r]
+                others = (mine != (key >> 22)[:, None]) & (mine != (key & ((1 << 22) - 1))[:, None])
+                some = mine[others].reshape(len(r), rest)[:, :prefix]
+                rows.append(np.repeat(r, prefix))
+                out.append((_mixed(_mixed(key)[:, None] ^ some.astype(np.uint64))).ravel().view(np.int64))
+            rows, out = np.concatenate(rows), np.concatenate(out)
+            order = np.argsort(rows, kind="stable")
+            cuts = np.searchsorted(rows[order], np.arange(1, len(t)))
             bits = np.zeros((len(t), 64), np.uint64)
-            bits[:, :SYMBOLS] = t & 15
-            quads = (bits.reshape(len(t), 4, 16) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"rep": batch.rep, **{f"q{i}": quads[:, i] for i in range(4)}, "keys": list(keys)})
+            bits[:, :SYMBOLS] = t & 3
+            pairs = (bits.reshape(len(t), 2, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"rep": batch.rep, "q0": pairs[:, 0], "q1": pairs[:, 1], "keys": np.split(out[order], cuts)})
 
     rep = dict(signed.dtypes)["rep"]
-    keyed = signed.select("rep", "sig").mapInPandas(run, f"rep {rep}, q0 long, q1 long, q2 long, q3 long, keys array<long>")
-    return keyed.select("rep", "q0", "q1", "q2", "q3", F.explode("keys").alias("key"))
+    keyed = signed.select("rep", "sig").mapInPandas(run, f"rep {rep}, q0 long, q1 long, keys array<long>")
+    return keyed.select("rep", "q0", "q1", F.explode("keys").alias("key"))
 
 
-def _quads_differ() -> Column:
-    """How many symbols differ in their last four bits: never more than differ at all."""
+def _parts_differ() -> Column:
+    """How many symbols differ in their last two bits: never more than differ at all."""
     total = F.lit(0)
-    for i in range(4):
+    for i in range(2):
         x = F.col(f"qa{i}").bitwiseXOR(F.col(f"qb{i}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
     return total
 
 
@@ -142,9 +186,9 @@ def hamming_pairs(signed: DataFrame, most_distant: int) -> DataFrame:
     """(a, b), a < b: all pairs of ``signed`` (rep, sig) within ``most_distant`` symbols."""
     if most_distant >= CHUNKS * (ERRORS + 1):
         raise ValueError(f"pairs beyond {CHUNKS * (ERRORS + 1) - 1} wrong symbols are not sure to meet")
-    keyed = index_keys(signed)
-    x, y = (keyed.select(F.col("rep").alias(s), "key", *[F.col(f"q{i}").alias(f"q{s}{i}") for i in range(4)]) for s in "ab")
-    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (_quads_differ() <= most_distant)).select("a", "b").distinct()
+    keyed = index_keys(signed, most_distant)
+    x, y = (keyed.select(F.col("rep").alias(s), "key", *[F.col(f"q{i}").alias(f"q{s}{i}") for i in range(2)]) for s in "ab")
+    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (_parts_differ() <= most_distant)).select("a", "b").distinct()
     left = signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     right = signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     differs = reduce(lambda x, y: x + y, [(_symbol(i, "sig_a") != _symbol(i, "sig_b")).cast("int") for i in range(SYMBOLS)])

@@ -95,3 +95,36 @@ def test_all_pairs_within_the_accepted_distance(spark):
     found = {(r.chunk_id_a, r.chunk_id_b) for r in nd.near_duplicate_pairs(spark.createDataFrame(texts, SCHEMA)).collect()}
     want = brute(texts)
     assert not found - want and len(want - found) <= 0.01 * len(want)
+
+
+def test_texts_of_one_template_meet_only_where_they_are_near(spark):
+    """A key that all share is split by a third symbol; no pair within the distance is lost."""
+    rng = random.Random(11)
+    template = [rng.randrange(65536) for _ in range(nd.SYMBOLS)]
+    held, rows = set(rng.sample(range(nd.SYMBOLS), 20)), []
+    for i in range(0, 600, 2):
+        a = [template[k] if k in held else rng.randrange(65536) for k in range(nd.SYMBOLS)]
+        b = list(a)
+        for k in rng.sample(range(nd.SYMBOLS), 30):
+            b[k] ^= 1 + rng.randrange(65535)
+        rows += [(i + n, b"".join(x.to_bytes(2, "big") for x in s)) for n, s in enumerate((a, b))]
+    signed = spark.createDataFrame(rows, "rep long, sig binary")
+    got = {(r.a, r.b) for r in nd.hamming_pairs(signed, 30).collect()}
+    tokens = {i: [s[2 * k : 2 * k + 2] for k in range(nd.SYMBOLS)] for i, s in rows}
+    want = {(a, b) for a, b in combinations(sorted(tokens), 2) if sum(x != y for x, y in zip(tokens[a], tokens[b])) <= 30}
+    assert got == want and len(want) >= 300
+    sizes = [r["count"] for r in nd.index_keys(signed, 30).groupBy("key").count().collect()]
+    assert max(sizes) <= 150
+
+
+def test_recall_by_band_of_alikeness(spark):
+    rng, rows = random.Random(13), []
+    for i in range(500):
+        base = " ".join(f"term{rng.randrange(4000)}" for _ in range(80))
+        rows += [(10 * i, base, 1, ""), (10 * i + 1, edited(base, rng.uniform(0.1, 0.2), rng), 1, "")]
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in nd.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    texts = {i: letters(t) for i, t, *_ in rows}
+    alike = {(10 * i, 10 * i + 1): nd.alikeness(texts[10 * i], texts[10 * i + 1]) for i in range(500)}
+    for low, high, least in ((0.65, 0.70, 0.95), (0.70, 0.75, 0.98), (0.75, 1.01, 1.0)):
+        band = [p for p, a in alike.items() if low <= a < high]
+        assert len(band) >= 30 and sum(p in got for p in band) >= least * len(band), (low, len(band), sum(p in got for p in band))
