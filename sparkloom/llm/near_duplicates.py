@@ -9,9 +9,12 @@ at least ``PER_CHUNK - errors`` symbols, and of those the two rarest are among t
 ``RAREST`` rarest of either chunk, whatever order stands for rarity, as long as it
 is one for all rows. So each chunk is indexed by every two of these: all pairs
 under that distance meet in at least one index. A key that many texts share, as
-texts made from one template do, is not one group: whoever holds it is indexed by
-it together with one more symbol, and as many of the rarest of those that are left
-as make sure that two texts under the distance share one (prefix filtering). Distance counts symbols, not single
+texts made from one template do, is not one group: two texts that share a chunk but
+for the errors share a third and a fourth of its symbols, so whoever holds such a
+key is indexed by it with each further symbol that may be the next one they share.
+A key of four that many share is joined with one of the rarest symbols of all
+others, as many as make sure that two texts under the distance share one (prefix
+filtering). Distance counts symbols, not single
 bits: at an alikeness of 0.65 a sixth of single bits differ, and a chunk of bits
 would have to allow so many errors that each probe met percents of all rows.
 Pairs that meet are held against the signature distance, then against the
@@ -39,8 +42,10 @@ CHUNKS, PER_CHUNK, ERRORS = 8, 7, 3
 SYMBOLS = CHUNKS * PER_CHUNK
 #: Symbols of a chunk that are indexed in twos, and signatures that rarity is counted on.
 RAREST, SAMPLE = ERRORS + 2, 20_000
-#: A key that this many signatures of the sample have is shared by many.
-MANY = 8
+#: A key that about so many rows share, as the sample says, is shared by many.
+GROUP_ROWS = 1000
+#: Numbers that ids are hashed to when texts without links are left out early.
+BUCKETS = 2**20
 
 
 def normalized(content: Column) -> Column:
@@ -115,29 +120,48 @@ def _ranked(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.sort(order.reshape(len(tokens), CHUNKS, PER_CHUNK), axis=2) & ((1 << 22) - 1)
 
 
-def _keys(ranked: np.ndarray) -> np.ndarray:
-    """Every two of the rarest tokens of each chunk, as one number; a row for each signature."""
-    twos = np.array(list(combinations(range(RAREST), 2)))
-    return ((ranked[:, :, twos[:, 0]] << 22) | ranked[:, :, twos[:, 1]]).reshape(len(ranked), -1)
+#: Ranks in a chunk whose symbols make a key of two, three and four, and which key
+#: of the level before each one continues. Of ``PER_CHUNK - ERRORS`` shared symbols
+#: the first two are among the rarest RAREST, the third among one more, and so on.
+_LEVELS = [list(combinations(range(RAREST + n - 2), n)) for n in range(2, PER_CHUNK - ERRORS + 1)]
+_LEVELS = [[c for c in level if c[1] < RAREST and all(r < RAREST + i - 1 for i, r in enumerate(c) if i > 1)] for level in _LEVELS]
+_BEFORE = [[level.index(c[:-1]) for c in after] for level, after in zip(_LEVELS, _LEVELS[1:])]
+
+
+def _keys(ranked: np.ndarray, level: int) -> np.ndarray:
+    """(signature, chunk, combination): the keys of a level, as mixed numbers."""
+    h = np.zeros((*ranked.shape[:2], len(_LEVELS[level])), np.uint64)
+    for ranks in zip(*_LEVELS[level]):
+        h = _mixed(h ^ ranked[:, :, list(ranks)].astype(np.uint64))
+    return h.view(np.int64)
+
+
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``some``."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(x.shape, bool)
 
 
 def index_keys(signed: DataFrame, most_distant: int) -> DataFrame:
-    """(rep, q0, q1, key): every two of the rarest symbols of every chunk, shared ones with one more.
+    """(rep, q0...q3, key): every two of the rarest symbols of every chunk, shared ones with more.
 
     What is rare and what is shared by many is counted on a sample drawn by hash;
-    that decides how many pairs meet by chance, not which pairs are sure to. q0 and
-    q1 hold the last two bits of each symbol.
+    that decides how many pairs meet by chance, not which pairs are sure to. q0 to
+    q3 hold the last four bits of each symbol.
     """
-    step = max(1, signed.count() // SAMPLE)
-    drawn = signed.where(F.pmod(F.xxhash64("rep"), F.lit(step)) == 0).select("sig").limit(4 * SAMPLE)
+    total = signed.count()
+    drawn = signed.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, total // SAMPLE))) == 0).select("sig").limit(4 * SAMPLE)
     tokens = _tokens([bytes(r.sig) for r in drawn.collect()])  # bounded by the sample
     common = np.minimum(np.bincount(tokens.ravel(), minlength=SYMBOLS << 16), 65535).astype(np.uint16)
-    keys, counts = np.unique(_keys(_ranked(tokens, common)), return_counts=True) if len(tokens) else (np.empty(0, np.int64), np.empty(0, int))
-    # one number for each possible symbol and place; shared keys are at most 80 / MANY for each of the sample
-    shared = signed.sparkSession.sparkContext.broadcast((common, keys[counts >= MANY]))
-    # two texts agree in SYMBOLS - most_distant places at least, two of them in the key
-    rest = SYMBOLS - 2
-    prefix = min(rest, rest - (SYMBOLS - most_distant - 2) + 1)
+    least, many = max(3, GROUP_ROWS * len(tokens) // max(1, total)), []
+    for level in range(len(_LEVELS)):
+        keys, counts = np.unique(_keys(_ranked(tokens, common), level), return_counts=True)
+        many.append(keys[counts >= least])
+    # one number for each possible symbol and place; the shared keys are bounded by the sample
+    shared = signed.sparkSession.sparkContext.broadcast((common, many))
+    # two texts agree in SYMBOLS - most_distant places at least, ``known`` of them in the longest key
+    known = PER_CHUNK - ERRORS
+    rest = SYMBOLS - known
+    prefix = min(rest, rest - (SYMBOLS - most_distant - known) + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, many = shared.value
@@ -146,39 +170,47 @@ def index_keys(signed: DataFrame, most_distant: int) -> DataFrame:
                 continue
             t = _tokens(batch.sig)
             ranked = _ranked(t, common)
-            keys = _keys(ranked)
-            row, at = np.nonzero(np.isin(keys, many)) if len(many) else (np.empty(0, int), np.empty(0, int))
-            plain = np.ones(keys.shape, bool)
-            plain[row, at] = False
-            rows, out = [np.nonzero(plain)[0]], [_mixed(keys[plain]).view(np.int64)]
-            by_rarity = np.sort((common[t].astype(np.int64) << 22) | t, axis=1) & ((1 << 22) - 1)
-            for start in range(0, len(row), 8192):
-                r, key = row[start : start + 8192], keys[row[start : start + 8192], at[start : start + 8192]]
-                mine = by_rarity[r]
-                others = (mine != (key >> 22)[:, None]) & (mine != (key & ((1 << 22) - 1))[:, None])
-                some = mine[others].reshape(len(r), rest)[:, :prefix]
-                rows.append(np.repeat(r, prefix))
-                out.append((_mixed(_mixed(key)[:, None] ^ some.astype(np.uint64))).ravel().view(np.int64))
+            rows, out, open_ = [], [], None
+            for level, some in enumerate(many):
+                keys = _keys(ranked, level)
+                held = np.ones(keys.shape, bool) if open_ is None else open_[:, :, _BEFORE[level - 1]]
+                open_ = held & _among(keys, some)
+                row, chunk, at = np.nonzero(held & ~open_)
+                rows.append(row)
+                out.append(keys[row, chunk, at])
+                if not open_.any():
+                    break
+            else:
+                row, chunk, at = np.nonzero(open_)
+                by_rarity = np.sort((common[t].astype(np.int64) << 22) | t, axis=1) & ((1 << 22) - 1)
+                for start in range(0, len(row), 8192):
+                    r, c, k = (x[start : start + 8192] for x in (row, chunk, at))
+                    inside = np.take_along_axis(ranked[r, c], np.array(_LEVELS[-1])[k], axis=1)
+                    others = (by_rarity[r][:, :, None] != inside[:, None, :]).all(axis=2)
+                    further = by_rarity[r][others].reshape(len(r), rest)[:, :prefix]
+                    rows.append(np.repeat(r, prefix))
+                    out.append(_mixed(keys[r, c, k][:, None].view(np.uint64) ^ further.astype(np.uint64)).ravel().view(np.int64))
             rows, out = np.concatenate(rows), np.concatenate(out)
             order = np.argsort(rows, kind="stable")
             cuts = np.searchsorted(rows[order], np.arange(1, len(t)))
             bits = np.zeros((len(t), 64), np.uint64)
-            bits[:, :SYMBOLS] = t & 3
-            pairs = (bits.reshape(len(t), 2, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"rep": batch.rep, "q0": pairs[:, 0], "q1": pairs[:, 1], "keys": np.split(out[order], cuts)})
+            bits[:, :SYMBOLS] = t & 15
+            quads = (bits.reshape(len(t), 4, 16) << (4 * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"rep": batch.rep, **{f"q{i}": quads[:, i] for i in range(4)}, "keys": np.split(out[order], cuts)})
 
     rep = dict(signed.dtypes)["rep"]
-    keyed = signed.select("rep", "sig").mapInPandas(run, f"rep {rep}, q0 long, q1 long, keys array<long>")
-    return keyed.select("rep", "q0", "q1", F.explode("keys").alias("key"))
+    keyed = signed.select("rep", "sig").mapInPandas(run, f"rep {rep}, q0 long, q1 long, q2 long, q3 long, keys array<long>")
+    return keyed.select("rep", "q0", "q1", "q2", "q3", F.explode("keys").alias("key"))
 
 
-def _parts_differ() -> Column:
-    """How many symbols differ in their last two bits: never more than differ at all."""
+def _quads_differ() -> Column:
+    """How many symbols differ in their last four bits: never more than differ at all."""
     total = F.lit(0)
-    for i in range(2):
+    for i in range(4):
         x = F.col(f"qa{i}").bitwiseXOR(F.col(f"qb{i}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     return total
 
 
@@ -187,8 +219,8 @@ def hamming_pairs(signed: DataFrame, most_distant: int) -> DataFrame:
     if most_distant >= CHUNKS * (ERRORS + 1):
         raise ValueError(f"pairs beyond {CHUNKS * (ERRORS + 1) - 1} wrong symbols are not sure to meet")
     keyed = index_keys(signed, most_distant)
-    x, y = (keyed.select(F.col("rep").alias(s), "key", *[F.col(f"q{i}").alias(f"q{s}{i}") for i in range(2)]) for s in "ab")
-    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (_parts_differ() <= most_distant)).select("a", "b").distinct()
+    x, y = (keyed.select(F.col("rep").alias(s), "key", *[F.col(f"q{i}").alias(f"q{s}{i}") for i in range(4)]) for s in "ab")
+    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (_quads_differ() <= most_distant)).select("a", "b").distinct()
     left = signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     right = signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     differs = reduce(lambda x, y: x + y, [(_symbol(i, "sig_a") != _symbol(i, "sig_b")).cast("int") for i in range(SYMBOLS)])
@@ -229,7 +261,11 @@ def representative_pairs(chunks: DataFrame, least: float = 0.65, slack: float =
     near = materialize(hamming_pairs(texts.select("rep", "sig"), most), "hamming-pairs")
     wanted = near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct()
     held = texts.select("rep", "text_hash").join(wanted, "rep").select(F.col("rep").alias("chunk_id"), "text_hash")
-    source = chunks.select("chunk_id", "content").join(held, "chunk_id")
+    # texts of which no link is known stay where they are; at most BUCKETS numbers are broadcast
+    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS))
+    buckets = held.select(bucket.alias("bucket")).distinct()
+    source = chunks.select("chunk_id", "content").where("chunk_id IS NOT NULL").withColumn("bucket", bucket)
+    source = source.join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket").join(held.hint("merge"), "chunk_id")
     source = source.select(F.col("chunk_id").alias("rep"), normalized(F.col("content")).alias("text"), "text_hash")
     source = source.where(F.unhex(F.md5("text")) == F.col("text_hash")).dropDuplicates(["rep"]).select("rep", "text")
     source = materialize(source, "near-texts")
