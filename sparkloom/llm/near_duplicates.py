@@ -41,7 +41,7 @@ RUN, LEAST_CHARS = 5, 200
 CHUNKS, PER_CHUNK, ERRORS = 8, 7, 3
 SYMBOLS = CHUNKS * PER_CHUNK
 #: Symbols of a chunk that are indexed in twos, and signatures that rarity is counted on.
-RAREST, SAMPLE = ERRORS + 2, 20_000
+RAREST, SAMPLE = ERRORS + 2, 10_000
 #: A key that about so many rows share, as the sample says, is shared by many.
 GROUP_ROWS = 1000
 #: Numbers that ids are hashed to when texts without links are left out early.
@@ -165,9 +165,7 @@ def index_keys(signed: DataFrame, most_distant: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, many = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (whole.iloc[i : i + 2048] for whole in batches for i in range(0, len(whole), 2048)):
             t = _tokens(batch.sig)
             ranked = _ranked(t, common)
             rows, out, open_ = [], [], None
@@ -214,6 +212,15 @@ def _quads_differ() -> Column:
     return total
 
 
+def _maybe_among(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ``ids``, and few others, without moving the rest.
+
+    Keys are hashed to ``BUCKETS`` numbers, so what is broadcast is bounded.
+    """
+    number = lambda: F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+    return table.select("*", number()).join(F.broadcast(ids.select(number()).distinct()), "bucket", "left_semi").drop("bucket")
+
+
 def hamming_pairs(signed: DataFrame, most_distant: int) -> DataFrame:
     """(a, b), a < b: all pairs of ``signed`` (rep, sig) within ``most_distant`` symbols."""
     if most_distant >= CHUNKS * (ERRORS + 1):
@@ -221,8 +228,10 @@ def hamming_pairs(signed: DataFrame, most_distant: int) -> DataFrame:
     keyed = index_keys(signed, most_distant)
     x, y = (keyed.select(F.col("rep").alias(s), "key", *[F.col(f"q{i}").alias(f"q{s}{i}") for i in range(4)]) for s in "ab")
     met = x.join(y, "key").where((F.col("a") < F.col("b")) & (_quads_differ() <= most_distant)).select("a", "b").distinct()
-    left = signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    right = signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    met = materialize(met, "met")
+    some = _maybe_among(signed.select("rep", "sig"), "rep", met.select(F.explode(F.array("a", "b")).alias("rep")))
+    left = some.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")).hint("merge")
+    right = some.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")).hint("merge")
     differs = reduce(lambda x, y: x + y, [(_symbol(i, "sig_a") != _symbol(i, "sig_b")).cast("int") for i in range(SYMBOLS)])
     return met.join(left, "a").join(right, "b").where(differs <= most_distant).select("a", "b")
 
@@ -252,27 +261,27 @@ def representative_pairs(chunks: DataFrame, least: float = 0.65, slack: float =
     contents differ, the one with the least hash counts. Other columns are not
     read. An empty table gives empty results.
     """
-    signed = signatures(chunks).groupBy("chunk_id").agg(F.min(F.struct("text_hash", "sig")).alias("s"))
-    signed = materialize(signed.select("chunk_id", "s.text_hash", "s.sig"), "signatures")
-    texts = signed.groupBy("text_hash").agg(F.min("chunk_id").alias("rep"), F.min("sig").alias("sig"))
-    texts = materialize(texts, "texts")
+    signed = materialize(signatures(chunks), "signatures")
+    # who stands for whom is found on narrow rows; then the signatures move once
+    members = signed.groupBy("chunk_id").agg(F.min("text_hash").alias("text_hash"))
+    reps = materialize(members.groupBy("text_hash").agg(F.min("chunk_id").alias("rep")), "representatives")
+    own = reps.select(F.col("rep").alias("chunk_id"), F.col("text_hash").alias("own")).hint("merge")
+    texts = signed.join(own, "chunk_id").where("text_hash = own").dropDuplicates(["chunk_id"])
+    texts = materialize(texts.select(F.col("chunk_id").alias("rep"), "text_hash", "sig"), "texts")
     share = 1 - least
     most = min(SYMBOLS, int(SYMBOLS * share + slack * (SYMBOLS * share * least) ** 0.5))
     near = materialize(hamming_pairs(texts.select("rep", "sig"), most), "hamming-pairs")
     wanted = near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct()
     held = texts.select("rep", "text_hash").join(wanted, "rep").select(F.col("rep").alias("chunk_id"), "text_hash")
-    # texts of which no link is known stay where they are; at most BUCKETS numbers are broadcast
-    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS))
-    buckets = held.select(bucket.alias("bucket")).distinct()
-    source = chunks.select("chunk_id", "content").where("chunk_id IS NOT NULL").withColumn("bucket", bucket)
-    source = source.join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket").join(held.hint("merge"), "chunk_id")
+    source = chunks.select("chunk_id", "content").where("chunk_id IS NOT NULL")
+    source = _maybe_among(source, "chunk_id", held).join(held.hint("merge"), "chunk_id")
     source = source.select(F.col("chunk_id").alias("rep"), normalized(F.col("content")).alias("text"), "text_hash")
     source = source.where(F.unhex(F.md5("text")) == F.col("text_hash")).dropDuplicates(["rep"]).select("rep", "text")
     source = materialize(source, "near-texts")
     both = near.join(source.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(source.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.select("a", "b", _alike("text_a", "text_b").alias("alike")).where(F.col("alike") >= least)
-    return links, signed.join(texts.select("text_hash", "rep"), "text_hash").select("chunk_id", "rep")
+    return links, members.join(reps.hint("merge"), "text_hash").select("chunk_id", "rep")
 
 
 def near_duplicate_pairs(chunks: DataFrame, least: float = 0.65) -> DataFrame:
