@@ -1,11 +1,16 @@
 """Problem 4: message rows become ordered conversations.
 
-Every conversation is a chain of segments, bounded runs of messages in time
-order. A segment points at the one before it as its parent; pointer jumping
-(``operators.paths``) gives each segment its root and the number of messages
-before it, so even a conversation that holds a third of all rows is ordered
-without gathering it in one task. A root must be a known conversation,
-otherwise the chain is an orphan.
+Messages and conversations are nodes. A message points at the one before it, the
+first of a conversation at the conversation. Pointer jumping (``operators.paths``)
+resolves these links and folds what lies on the path from the root down to each
+message: how many messages, who spoke first and last, whether a user was left
+without a reply, whether a role was unreadable. The path that ends at the last
+message is the conversation; its verdict is read off that fold and off how the path
+ends: at a conversation that is not there it is an orphan, a cycle has no end.
+
+Nothing gathers a conversation in one task: rows are put in order by ranges of
+(conversation, time, id), which cut a conversation of any size, even one written in
+one instant, into runs.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.paths import resolve_paths
+from ..operators.paths import fold_paths
 from ..plans.materialize import materialize
 
 # Written forms of the speaker roles.
@@ -45,127 +50,153 @@ def role_of(role: Column) -> Column:
     return out
 
 
-def has_words(content: Column) -> Column:
-    """False for null, blank text and a client's notice that nothing came."""
+def has_words(content: Column, notice_chars: int = NOTICE_CHARS) -> Column:
+    """False for null, blank text and a client's notice that nothing came, of ``notice_chars`` at most."""
     text = F.lower(F.regexp_replace(content, f"^{BLANK}+|{BLANK}+$", ""))
     failure = "|".join(FAILURE_WORDS)
     bracketed = text.rlike(rf"^[\[<(（【][^\[\]<>()（）【】]*(?:{failure})[^\[\]<>()（）【】]*[\]>)）】]$")
     marked = text.rlike(rf"^(?:[⚠❌✖!]️?{BLANK}*.*(?:{failure})|\**error\**{BLANK}*:)")
-    notice = (F.char_length(text) <= NOTICE_CHARS) & (bracketed | marked)
+    notice = (F.char_length(text) <= notice_chars) & (bracketed | marked)
     return F.coalesce((text != "") & ~notice, F.lit(False))
 
 
-def clean_messages(messages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per message that stays: narrow columns and those in ``carry``.
+def clean_messages(messages: DataFrame, carry: tuple[str, ...] = (), notice_chars: int = NOTICE_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(kept, once): the messages that stay, narrow, and each message once with what is carried.
 
-    A message_id counts once (the row ingested last; rows with a null id are
-    told apart by all they hold); within a turn_group of a conversation only the
-    highest version stays; messages without words are set aside; rows without a
+    ``node`` names a message: an odd number made of its message_id or, where that
+    is null, of a hash of all it holds; conversations have even ones. A message_id
+    counts once (the row ingested last); within a turn_group of a conversation only
+    the highest version stays; messages without words are set aside; rows without a
     conversation are left out. Seconds and milliseconds become milliseconds.
     """
-    key = F.when(F.col("message_id").isNull(), F.xxhash64("conversation_id", "role", "content", "created_at", "turn_group", "version"))
+    unnamed = F.xxhash64("conversation_id", "role", "content", "created_at", "turn_group", "version")
     rows = messages.where("conversation_id IS NOT NULL").select(
         "conversation_id",
         "message_id",
-        key.alias("no_id"),
+        (F.shiftleft(F.coalesce("message_id", unnamed), 1) + 1).alias("node"),
         role_of(F.col("role")).alias("speaker"),
-        has_words(F.col("content")).alias("said"),
+        has_words(F.col("content"), notice_chars).alias("said"),
         F.when(F.abs("created_at") < 100_000_000_000, F.col("created_at") * 1000).otherwise(F.col("created_at")).alias("at_ms"),
         F.when(F.length("turn_group") > 0, F.xxhash64("turn_group")).alias("turn"),
         F.coalesce("version", F.lit(-1)).alias("version"),
         "ingested_at",
         *carry,
     )
-    latest = Window.partitionBy("message_id", "no_id").orderBy(
+    latest = Window.partitionBy("node").orderBy(
         F.col("ingested_at").desc_nulls_last(), F.col("version").desc(), "conversation_id", "at_ms", "speaker", F.col("said").desc(), "turn"
     )
-    once = rows.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth", "ingested_at", "no_id")
+    once = rows.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth", "ingested_at")
     once = materialize(once, "messages")
+    narrow = once.drop(*carry)
     reworded = (
-        once.where("turn IS NOT NULL").groupBy("conversation_id", "turn").agg(F.max("version").alias("top"), F.min("version").alias("low")).where("top > low").drop("low")
+        narrow.where("turn IS NOT NULL").groupBy("conversation_id", "turn").agg(F.max("version").alias("top"), F.min("version").alias("low")).where("top > low").drop("low")
     )
-    kept = once.join(reworded, ["conversation_id", "turn"], "left").where("top IS NULL OR version = top").where("said")
-    return kept.drop("top", "said", "version", "turn")
+    kept = narrow.join(reworded, ["conversation_id", "turn"], "left").where("top IS NULL OR version = top").where("said")
+    return kept.select("conversation_id", "message_id", "node", "speaker", "at_ms"), once
+
+
+def conversation_node(conversation: Column) -> Column:
+    return F.shiftleft(conversation, 1)
+
+
+def parents_by_time(kept: DataFrame) -> DataFrame:
+    """Adds ``parent``: the message before in time and id (null times last), or the conversation."""
+    order = [F.col("at_ms").asc_nulls_last(), F.col("message_id"), F.col("node")]
+    placed = kept.repartitionByRange("conversation_id", *order).withColumn("run", F.spark_partition_id())
+    placed = materialize(placed, "runs")
+    within = Window.partitionBy("conversation_id", "run").orderBy(*order)
+    linked = placed.withColumn("parent", F.lag("node").over(within)).withColumn("last", F.lead("node").over(within).isNull())
+    linked = materialize(linked, "linked")
+    # a run begins where the run before it ended; only conversations that a cut went through have two
+    ends = linked.where("last").select("conversation_id", "run", "node")
+    before = F.lag("node").over(Window.partitionBy("conversation_id").orderBy("run"))
+    cuts = ends.select("conversation_id", "run", before.alias("before")).where("before IS NOT NULL")
+    joined = linked.join(F.broadcast(cuts), ["conversation_id", "run"], "left")  # at most one row a range of the exchange
+    parent = F.coalesce("parent", "before", conversation_node(F.col("conversation_id")))
+    return joined.select(*kept.columns, parent.alias("parent"))
+
+
+def follow_paths(nodes: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths, verdicts) of messages with their links.
+
+    ``nodes``: node, parent (another node or ``conversation_node``), conversation_id,
+    speaker. paths: node, conversation_id, state and position, the number of
+    messages above it. verdicts: conversation_id, reason for every conversation
+    that is known or has a node; null for a sound one, else ``cycle``, ``unknown``
+    (the path ends at a conversation that is not there), ``orphan`` (at a message
+    that is not there), ``empty``, ``role`` (an unreadable role), ``start`` (no user
+    or assistant, or the first of them is not the user) or ``reply`` (a user message
+    not directly followed by the assistant).
+    """
+    part = F.when(F.col("speaker").isin(USER, ASSISTANT), F.col("speaker"))
+    known = conversations.where("conversation_id IS NOT NULL").select("conversation_id").distinct()
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    zero = F.lit(0).cast("long")
+    roots = known.select(
+        conversation_node(F.col("conversation_id")).alias("id"), F.lit(None).cast("long").alias("parent"), "conversation_id",
+        zero.alias("n"), none.alias("first"), none.alias("final"), no.alias("unanswered"), no.alias("unreadable"),
+    )
+    messages = nodes.select(
+        F.col("node").alias("id"), "parent", "conversation_id", (zero + 1).alias("n"), part.alias("first"), part.alias("final"),
+        no.alias("unanswered"), F.col("speaker").isNull().alias("unreadable"),
+    )
+
+    def join(up: dict[str, Column], down: dict[str, Column]) -> dict[str, Column]:
+        broken = F.coalesce((up["final"] == USER) & (down["first"] != ASSISTANT), no)
+        return {
+            "n": up["n"] + down["n"],
+            "first": F.coalesce(up["first"], down["first"]),
+            "final": F.coalesce(down["final"], up["final"]),
+            "unanswered": up["unanswered"] | down["unanswered"] | broken,
+            "unreadable": up["unreadable"] | down["unreadable"],
+        }
+
+    carried = ["n", "first", "final", "unanswered", "unreadable"]
+    folded = materialize(fold_paths(roots.unionByName(messages), carried, join, "conversation_id"), "paths")
+    # the node farthest from the root closes the path; ids are odd for messages
+    ending = F.max_by(F.struct("root", *carried), F.struct("n", "id")).alias("end")
+    heads = folded.groupBy(F.col("group").alias("conversation_id")).agg(
+        ending, F.max(F.col("state") == "cycle").alias("cycle"), F.max_by("root", F.when(F.col("state") == "orphan", F.abs(F.col("root") % 2))).alias("lost")
+    )
+    reason = (
+        F.when(F.col("cycle"), "cycle")
+        .when(F.col("lost") % 2 != 0, "orphan")
+        .when(F.col("lost").isNotNull(), "unknown")
+        .when(F.col("end.n") == 0, "empty")
+        .when(F.col("end.unreadable"), "role")
+        .when(F.col("end.first").isNull() | (F.col("end.first") != USER), "start")
+        .when(F.col("end.unanswered") | (F.col("end.final") == USER), "reply")
+    )
+    verdicts = heads.select("conversation_id", reason.alias("reason"))
+    paths = folded.where("id % 2 <> 0").select(F.col("id").alias("node"), F.col("group").alias("conversation_id"), "state", (F.col("n") - 1).alias("position"))
+    return paths, verdicts
 
 
-def _segments(kept: DataFrame, target: int) -> DataFrame:
-    """Adds ``seg``: equal slices of time, about ``target`` messages each."""
-    long = (
-        kept.groupBy("conversation_id")
-        .agg(F.count("*").alias("n"), F.min("at_ms").alias("from_ms"), F.max("at_ms").alias("to_ms"))
-        .where(F.col("n") > 2 * target)
-    )
-    width = F.greatest(F.lit(1.0), (F.col("to_ms") - F.col("from_ms") + 1) * F.lit(float(target)) / F.col("n"))
-    long = long.select("conversation_id", "from_ms", width.alias("width"))
-    seg = F.when(F.col("at_ms").isNull(), F.lit(2**40)).otherwise(F.coalesce(F.floor((F.col("at_ms") - F.col("from_ms")) / F.col("width")), F.lit(0)))
-    return kept.join(long, "conversation_id", "left").withColumn("seg", seg.cast("long")).drop("from_ms", "width")
+def _threads(messages: DataFrame, conversations: DataFrame, carry: tuple[str, ...], notice_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kept, once = clean_messages(messages, carry, notice_chars)
+    paths, found = follow_paths(parents_by_time(kept), conversations)
+    # conversations of which nothing is left and that are not known have no node
+    named = messages.where("conversation_id IS NOT NULL").select("conversation_id").distinct()
+    missing = named.join(found.select("conversation_id"), "conversation_id", "left_anti").select("conversation_id", F.lit("unknown").alias("reason"))
+    return paths, found.unionByName(missing), once
 
 
-def thread_conversations(messages: DataFrame, conversations: DataFrame, carry: tuple[str, ...] = (), target: int = 512) -> tuple[DataFrame, DataFrame]:
+def thread_conversations(messages: DataFrame, conversations: DataFrame, carry: tuple[str, ...] = (), notice_chars: int = NOTICE_CHARS) -> tuple[DataFrame, DataFrame]:
     """(turns, verdicts).
 
     turns: one row per message left, with conversation_id, position (from 0 in
     the order of time, message_id; null times last), message_id, speaker, at_ms
-    and the carried columns. verdicts: conversation_id, reason; reason is null
-    for a sound conversation, otherwise ``unknown`` (not in conversations),
-    ``empty``, ``role`` (an unreadable role), ``start`` (no user or assistant, or
-    the first of them is not the user) or ``reply`` (a user message not directly
-    followed by the assistant). Every id of either table has one verdict.
+    and the carried columns. verdicts: conversation_id, reason as in
+    ``follow_paths``; every id of either table has one verdict.
     """
-    kept = _segments(clean_messages(messages, carry), target)
-    order = "OVER (PARTITION BY conversation_id, seg ORDER BY at_ms ASC NULLS LAST, message_id)"
-    ranked = kept.withColumn("part", F.when(F.col("speaker").isin(USER, ASSISTANT), F.col("speaker")))
-    ranked = ranked.withColumn("nth", F.expr(f"row_number() {order}")).withColumn("reply", F.expr(f"lead(part) IGNORE NULLS {order}"))
-    ranked = ranked.withColumn("lead_part", F.expr(f"lag(part) IGNORE NULLS {order}"))
-    ranked = materialize(ranked, "turns")
-    opens, closes = F.col("lead_part").isNull(), F.col("reply").isNull()
-    chain = ranked.groupBy("conversation_id", "seg").agg(
-        F.count("*").alias("n"),
-        F.max(F.when(opens, F.col("part"))).alias("first_part"),
-        F.max(F.when(closes, F.col("part"))).alias("last_part"),
-        F.max(F.col("speaker").isNull()).alias("unreadable"),
-        F.max((F.col("part") == USER) & (F.col("reply") != ASSISTANT)).alias("unanswered"),
-    )
-    along = Window.partitionBy("conversation_id").orderBy("seg")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    name = lambda seg: F.concat_ws(":", "conversation_id", seg)
-    chain = chain.select(
-        "*",
-        name(F.col("seg")).alias("id"),
-        F.when(F.lag("seg").over(along).isNotNull(), name(F.lag("seg").over(along))).alias("parent"),
-        F.last("last_part", ignorenulls=True).over(earlier).alias("prior_part"),
-    )
-    chain = materialize(chain, "segments")
-    paths = resolve_paths(chain, "id", "parent", "n").select("id", "root", "before")
-    chain = chain.join(paths.hint("merge"), "id")
-    heads = chain.groupBy("conversation_id", "root").agg(
-        F.sum("n").alias("n"),
-        F.max("unreadable").alias("unreadable"),
-        F.max(F.when(F.col("prior_part").isNull(), F.col("first_part"))).alias("opening"),
-        F.max(
-            F.coalesce("unanswered", F.lit(False)) | ((F.col("prior_part") == USER) & F.coalesce(F.col("first_part") != ASSISTANT, F.lit(False)))
-        ).alias("unanswered"),
-        F.max_by(F.coalesce("last_part", "prior_part"), "seg").alias("ending"),
-    )
-    known = conversations.where("conversation_id IS NOT NULL").select("conversation_id").distinct().withColumn("known", F.lit(True))
-    named = messages.where("conversation_id IS NOT NULL").select("conversation_id").distinct()
-    ids = known.join(named, "conversation_id", "full").join(heads, "conversation_id", "left")
-    reason = (
-        F.when(F.col("known").isNull(), "unknown")
-        .when(F.col("n").isNull(), "empty")
-        .when(F.col("unreadable"), "role")
-        .when(F.col("opening").isNull() | (F.col("opening") != USER), "start")
-        .when(F.coalesce("unanswered", F.lit(False)) | (F.col("ending") == USER), "reply")
-    )
-    verdicts = ids.select("conversation_id", reason.alias("reason"))
-    offsets = chain.select("conversation_id", "seg", "before")
-    turns = ranked.join(offsets.hint("merge"), ["conversation_id", "seg"]).select(
-        "conversation_id", (F.col("before") + F.col("nth") - 1).alias("position"), "message_id", "speaker", "at_ms", *carry
-    )
+    paths, verdicts, once = _threads(messages, conversations, carry, notice_chars)
+    turns = paths.select("node", "position").join(once.hint("merge"), "node").select("conversation_id", "position", "message_id", "speaker", "at_ms", *carry)
     return turns, verdicts
 
 
 def ordered_conversations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """The turns of the sound conversations, with their content."""
-    turns, verdicts = thread_conversations(messages, conversations, carry=("content",))
-    return turns.join(verdicts.where("reason IS NULL").select("conversation_id"), "conversation_id", "left_semi")
+    paths, verdicts, once = _threads(messages, conversations, ("content",), NOTICE_CHARS)
+    sound = paths.join(verdicts.where("reason IS NULL").select("conversation_id"), "conversation_id", "left_semi")
+    turns = sound.select("node", "position").join(once.hint("merge"), "node")
+    return turns.select("conversation_id", "position", "message_id", "speaker", "at_ms", "content")

@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from sparkloom.llm.conversations import ordered_conversations, thread_conversations
+from sparkloom.llm.conversations import follow_paths, ordered_conversations, thread_conversations
 
 MESSAGES = "message_id long, conversation_id long, role string, content string, turn_group string, version int, created_at long, ingested_at timestamp, position int"
 CONVERSATIONS = "conversation_id long, title string"
@@ -46,17 +46,31 @@ def test_versions_duplicates_and_units(spark):
     assert [(r.message_id, r.position, r.speaker) for r in got] == [(3, 0, "user"), (4, 1, "assistant")]
 
 
-def test_long_conversation_in_segments_is_as_one(spark):
-    rows = [msg(i, 1, "user" if i % 2 else "assistant", at=1_700_000_000 + (i // 2) * 7) for i in range(1, 401)]
-    for target in (8, 50, 10_000):
-        assert verdicts(spark, rows, [1], target=target) == {1: None}
+def test_long_conversation_in_runs_is_as_one(spark):
+    # all but the last in one instant: message_id decides
+    rows = [msg(i, 1, "user" if i % 2 else "assistant", at=1_700_000_000 + i // 399) for i in range(1, 401)]
+    assert verdicts(spark, rows, [1]) == {1: None}
     m = spark.createDataFrame(rows, MESSAGES)
     c = spark.createDataFrame([(1, "t")], CONVERSATIONS)
-    turns = thread_conversations(m, c, target=8)[0].orderBy("position").collect()
+    turns = thread_conversations(m, c)[0].orderBy("position").collect()
     assert [r.message_id for r in turns] == list(range(1, 401))
     assert [r.position for r in turns] == list(range(400))
-    broken = rows[:200] + [msg(900, 1, "user", at=1_700_000_000 + 100 * 7)] + rows[200:]
-    assert verdicts(spark, broken, [1], target=8) == {1: "reply"}
+    broken = rows[:200] + [msg(900, 1, "user", at=1_700_000_000)] + rows[200:]
+    assert verdicts(spark, broken, [1]) == {1: "reply"}
+
+
+def test_links_that_lead_nowhere(spark):
+    nodes = [
+        (11, 2, 1, "user"), (13, 11, 1, "assistant"),  # sound
+        (21, 23, 2, "user"), (23, 25, 2, "assistant"), (25, 21, 2, "user"),  # a cycle
+        (31, 6, 3, "user"), (33, 39, 3, "assistant"),  # 39 is missing
+        (41, 8, 4, "user"), (43, 41, 4, "assistant"),  # conversation 4 is missing
+        (51, 51, 5, "user"),  # itself
+    ]
+    nodes = spark.createDataFrame(nodes, "node long, parent long, conversation_id long, speaker string")
+    paths, found = follow_paths(nodes, spark.createDataFrame([(i, "") for i in (1, 2, 3, 5, 6)], CONVERSATIONS))
+    assert {r.conversation_id: r.reason for r in found.collect()} == {1: None, 2: "cycle", 3: "orphan", 4: "unknown", 5: "cycle", 6: "empty"}
+    assert {r.node: (r.state, r.position) for r in paths.where("conversation_id IN (1, 4)").collect()} == {11: ("ok", 0), 13: ("ok", 1), 41: ("orphan", 0), 43: ("orphan", 1)}
 
 
 def test_nulls_and_empty_tables(spark):
