@@ -5,11 +5,11 @@ entries however many texts there are. On it the configuration linear program
 (how often each way to fill a container is used) is solved by multiplicative
 weights: lengths that are covered too little get a higher price, the best
 container at these prices is found by a knapsack dynamic program. The solution is
-rounded down; what is left is placed largest first, each with the others that fill
-its container best. Texts then find their container by their rank among the texts
-of their length. Where lengths have few texts each, rounding leaves almost all to the
-filling, and the plan without the program is taken if it needs fewer containers; the
-README has figures.
+rounded at random: every configuration is used as often as the program says, rounded
+up or down by chance, as long as its texts last. What rounding leaves over is a
+smaller histogram, for which the program is solved again, until little is left; that
+rest is placed largest first, each with the others that fill its container best.
+Texts then find their container by their rank among the texts of their length.
 """
 
 from __future__ import annotations
@@ -31,7 +31,17 @@ from ..plans.materialize import materialize
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and their step.
-ROUNDS, STEP = 60, 0.3
+ROUNDS, STEP = 800, 0.2
+#: The share of the rounds that only settles the prices.
+BURN_IN = 0.5
+#: Lengths fall in so many classes of one price; of each class the length that is
+#: covered least so far is offered to a knapsack.
+CLASSES = 128
+#: The program is solved again while more than this share of the tokens is unplaced
+#: and at least ``LEAST_GAIN`` of what was unplaced found its place.
+REST_SHARE, LEAST_GAIN = 0.3, 0.1
+#: Blocks of ranks that the texts of one length fall in when they look for their container.
+BLOCKS = 32
 
 
 def load_tokenizer(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
@@ -120,57 +130,74 @@ def fullest_container(lengths: np.ndarray, stock: np.ndarray, capacity: int) ->
     return take
 
 
+def solve_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
+    """[(configuration, containers)]: a fractional solution of the configuration program.
+
+    Multiplicative weights with knapsack pricing, on classes of lengths. Prices start
+    at the sizes, which is the dual solution where every container can be filled.
+    """
+    classes = np.minimum((lengths - 1) * CLASSES // capacity, CLASSES - 1)
+    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])  # lengths descend, so do classes
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(lengths)]))
+    wanted = np.add.reduceat(demand, starts).astype(float)
+    log_price = np.log(np.add.reduceat(lengths * demand, starts) / wanted)
+    used = np.zeros(len(lengths))
+    use: Counter = Counter()
+    for turn in range(rounds):
+        # of each class the length that is covered least; at first the largest
+        share = used / demand
+        offered = np.flatnonzero(share <= np.repeat(np.minimum.reduceat(share, starts), np.diff(np.r_[starts, len(lengths)])))
+        offered = offered[np.r_[True, of[offered[1:]] != of[offered[:-1]]]]
+        price = np.exp(log_price - log_price.max()) * lengths[offered] / np.maximum.reduceat(lengths, starts)
+        few = best_container(price, lengths[offered], demand[offered], capacity)
+        kinds = np.flatnonzero(few)
+        held, few = offered[kinds], few[kinds]
+        if turn >= rounds * BURN_IN:
+            use[tuple(zip(held.tolist(), few.tolist()))] += 1
+            used[held] += few
+        cover = few / wanted[kinds]
+        log_price[kinds] -= step * cover / cover.max()
+    # so many containers that all is covered on average
+    placed = sum(n * sum(int(lengths[i]) * c for i, c in take) for take, n in use.items())
+    scale = float((lengths * demand).sum()) / max(1, placed)
+    return [(take, n * scale) for take, n in sorted(use.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def plan_with_share(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, seed: int = 23) -> tuple[list, int]:
+    """(plan, containers of the program): as ``plan_containers``, with how many the program placed."""
+    lengths = np.array(sorted((n for n, c in histogram.items() if 0 < n <= capacity and c > 0), reverse=True), np.int64)
+    if not len(lengths):
+        return [], 0
+    rest = np.array([histogram[int(n)] for n in lengths], np.int64)
+    rng, whole, plan = np.random.default_rng(seed), float((lengths * rest).sum()), Counter()
+    while (before := float((lengths * rest).sum())) > REST_SHARE * whole:
+        held = np.flatnonzero(rest)
+        for take, n in solve_program(lengths[held], rest[held], capacity, rounds, step):
+            i, c = held[[k for k, _ in take]], np.array([m for _, m in take])
+            times = int(min(np.floor(n) + (rng.random() < n % 1), (rest[i] // c).min()))
+            if times > 0:
+                plan[tuple(zip(i.tolist(), c.tolist()))] += times
+                rest[i] -= c * times
+        if before - float((lengths * rest).sum()) < LEAST_GAIN * before:
+            break
+    program = plan.total()
+    while rest.sum() > 0:
+        take = fullest_container(lengths, rest, capacity)
+        held = np.flatnonzero(take)
+        times = int((rest[held] // take[held]).min())
+        plan[tuple(zip(held.tolist(), take[held].tolist()))] += times
+        rest -= take * times
+    named = [(tuple((int(lengths[i]), int(c)) for i, c in take), n) for take, n in plan.items()]
+    return sorted(named, reverse=True), program
+
+
 def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(configuration, containers)] that hold every item of ``histogram`` exactly.
 
     A configuration is ((length, how many), ...), longest first. The plan does not
     depend on anything but the histogram.
     """
-    lengths = np.array(sorted((n for n, c in histogram.items() if 0 < n <= capacity and c > 0), reverse=True), np.int64)
-    if not len(lengths):
-        return []
-    left = np.array([histogram[int(n)] for n in lengths], np.int64)
-    scale = 1.0 / left
-    weights = np.ones(len(lengths))
-    use: Counter = Counter()
-    for _ in range(rounds):
-        take = best_container(weights * scale, lengths, left, capacity)
-        use[tuple(take.tolist())] += 1
-        cover = take * scale
-        weights *= np.exp(-step * cover / max(cover.max(), 1e-12))
-        weights /= weights.max()
-        weights = np.maximum(weights, 1e-9)
-    # scale the shares to demand, most used first, rounded down
-    total = sum(use.values())
-    bins = float((lengths * left).sum()) / capacity
-    rounded: Counter = Counter()
-    rest = left.copy()
-    for take, n in sorted(use.items(), key=lambda x: (-x[1], x[0])):
-        t = np.array(take)
-        held = t > 0
-        times = int(min(np.floor(bins * n / total), (rest[held] // t[held]).min())) if held.any() else 0
-        if times > 0:
-            rounded[take] += times
-            rest -= t * times
-    # where counts are small, rounding may cost more than the program gains
-    plans = [_complete(rounded, rest, lengths, capacity), _complete(Counter(), left.copy(), lengths, capacity)]
-    plan = min(plans, key=lambda p: p.total())
-    named = Counter()
-    for take, n in plan.items():
-        named[tuple((int(lengths[i]), int(c)) for i, c in enumerate(take) if c)] += n
-    return sorted(named.items(), key=lambda x: x[0], reverse=True)
-
-
-def _complete(plan: Counter, left: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """Adds what is left: the largest item with what fills its container best, as often as it can be."""
-    plan = plan.copy()
-    while left.sum() > 0:
-        take = fullest_container(lengths, left, capacity)
-        held = take > 0
-        times = int((left[held] // take[held]).min())
-        plan[tuple(take.tolist())] += times
-        left -= take * times
-    return plan
+    return plan_with_share(histogram, capacity, rounds, step)[0]
 
 
 def pieces_of(counts: DataFrame, capacity: int) -> DataFrame:
@@ -201,19 +228,29 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, spread: int = 16) -> DataF
     offsets = sizes.select("tokens", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     histogram = {r.tokens: r["n"] for r in sizes.groupBy("tokens").agg(F.sum("count").alias("n")).collect()}  # at most capacity + 1 rows
     slots, first, used = [], 0, Counter()
+
+    def slot(length: int, low: int, high: int, many: int, first: int) -> None:
+        # a row for each block of ranks that the slot touches, so that a rank meets few slots
+        width = -(-histogram[length] // BLOCKS)
+        slots.extend((length, block, low, high, many, first) for block in range(low // width, (high - 1) // width + 1))
+
     for configuration, containers in plan_containers(histogram, capacity):
         for length, many in configuration:
-            slots.append((length, used[length], used[length] + many * containers, many, first))
+            slot(length, used[length], used[length] + many * containers, many, first)
             used[length] += many * containers
         first += containers
-    slots.append((0, 0, histogram.get(0, 0), max(1, histogram.get(0, 0)), 0))
-    # bounded by the plan: its configurations times the lengths in one
-    slots = spark.createDataFrame(slots, "tokens long, low long, high long, many long, first long")
+    if histogram.get(0):
+        slot(0, 0, histogram[0], histogram[0], 0)
+    # bounded whatever the table: configurations times the lengths in one, and BLOCKS for each length
+    slots = spark.createDataFrame(slots, "tokens long, block long, low long, high long, many long, first long")
+    widths = spark.createDataFrame([(n, -(-c // BLOCKS)) for n, c in histogram.items()], "tokens long, width long")
+    offsets = offsets.join(F.broadcast(widths), "tokens")
     within = Window.partitionBy("tokens", "bucket").orderBy("doc_id", "piece", "first_token")
-    # at most (capacity + 1) * spread rows are broadcast here, and the plan below
+    # at most (capacity + 1) * spread rows are broadcast here, and the plan after that
     ranked = pieces.withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), ["tokens", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "first_token", "tokens", (F.col("offset") + F.col("nth") - 1).alias("rank"))
-    placed = ranked.join(F.broadcast(slots), "tokens").where("rank >= low AND rank < high")
+    rank = F.col("offset") + F.col("nth") - 1
+    ranked = ranked.select("doc_id", "piece", "first_token", "tokens", rank.alias("rank"), F.floor(rank / F.col("width")).alias("block"))
+    placed = ranked.join(F.broadcast(slots), ["tokens", "block"]).where("rank >= low AND rank < high")
     container = F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("many"))
     return placed.select("doc_id", "piece", "first_token", "tokens", container.alias("container"))
 

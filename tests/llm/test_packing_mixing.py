@@ -21,6 +21,16 @@ def test_plan_holds_every_item_once():
     assert sum(n for _, n in plan) <= 1.01 * max(tokens / 2048, above_half) + 1
 
 
+def test_the_program_places_most(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n in (1000, 20_000):
+        histogram = dict(Counter(np.clip(rng.lognormal(6.2, 1.0, n).astype(int), 1, 2048).tolist()))
+        plan, program = packing.plan_with_share(histogram)
+        containers, tokens = sum(x for _, x in plan), sum(a * b for a, b in histogram.items())
+        assert program > containers / 2
+        assert containers <= 1.01 * tokens / 2048 + 1
+
+
 def test_plan_is_best_where_brute_force_knows():
     assert sum(n for _, n in packing.plan_containers({6: 4, 4: 4, 3: 2}, capacity=10)) == 5
     assert packing.plan_containers({}, 10) == []
