@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import zip_longest
 from statistics import median
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .prose import paragraphs, sentences
@@ -35,15 +35,15 @@ OTHER_NAMES = {
     "nl": ("nld", "dut", "dutch", "nederlands"),
 }
 
-#: Documents per label in the sample (of 100 to 20,000 characters), bytes of a
+#: Documents per label in the sample, the characters one of them has, bytes of a
 #: dictionary, compression level.
-SAMPLE_DOCS, DICT_BYTES, LEVEL = 150, 131072, 3
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 150, (100, 20_000), 131072, 3
 #: The least lead of the best language over the next, in bytes per character of
 #: the sentence, and the most bytes per byte that count as language at all.
 MARGIN, MOST_RATIO = 0.06, 0.8
 #: Names, numbers and references tell nothing about a language.
-_HAN, _LETTER = re.compile(r"[㐀-䶿一-鿿豈-﫿]"), re.compile(r"[^\W\d_]")
 _NOISE = re.compile(r"[A-Za-z]*[0-9][A-Za-z0-9-]*|[A-Z]{2,}-")
+_MAY_HOLD_NOISE = re.compile(r"[0-9]|[A-Z]{2}-")
 
 
 def label_code(label: Column, codes: list[str], names: dict[str, str]) -> Column:
@@ -57,36 +57,28 @@ def label_code(label: Column, codes: list[str], names: dict[str, str]) -> Column
 
 
 def _canon(sentence: str) -> bytes:
-    return _NOISE.sub("", sentence).lower().encode("utf-8", "replace")
+    if _MAY_HOLD_NOISE.search(sentence):
+        sentence = _NOISE.sub("", sentence)
+    return sentence.lower().encode("utf-8", "replace")
 
 
-def _script(text: str) -> bool | None:
-    """True for Chinese characters for the most part, False for none, null between."""
-    if text.isascii() or not _HAN.search(text):
-        return False
-    han = len(_HAN.findall(text))
-    return True if 3 * han > len(_LETTER.findall(text)) else None
-
-
-def _compressors(dictionaries: dict[str, bytes]) -> dict[str, tuple[zstandard.ZstdCompressor, bool | None]]:
-    """Each language's compressor, and the script of its dictionary."""
+def _compressors(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
     out = {}
     for code, content in dictionaries.items():
         raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         raw.precompute_compress(level=LEVEL)
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
-        out[code] = packer, _script(content.decode("utf-8", "replace")) is True
+        out[code] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
     return out
 
 
-def judge(sentence: str, compressors: dict[str, tuple[zstandard.ZstdCompressor, bool | None]]) -> tuple[str | None, float]:
+def judge(sentence: str, compressors: dict[str, zstandard.ZstdCompressor]) -> tuple[str | None, float]:
     """(language, confidence) of a sentence; language is null if undecided.
 
-    Languages of another script are not tried. The confidence is the lead of the
-    best over the next, as a share of the next.
+    Every dictionary is tried. The confidence is the lead of the best over the
+    next, as a share of the next.
     """
-    data, script = _canon(sentence), _script(sentence)
-    sizes = sorted((len(c.compress(data)), code) for code, (c, han) in compressors.items() if script is None or han is script)
+    data = _canon(sentence)
+    sizes = sorted((len(c.compress(data)), code) for code, c in compressors.items())
     if not data or not sizes:
         return None, 0.0
     best, code = sizes[0]
@@ -114,43 +106,70 @@ def _judge_by_shards(data: bytes, shards: dict[str, list[zstandard.ZstdCompresso
     return sizes[0][1]
 
 
-def fit_dictionaries(labelled: list[tuple[str, str]], rounds: int = 3, shards: int = 6) -> dict[str, bytes]:
+Sentence = tuple[str, int, str]  # label, shard, text
+
+
+def winners(sentences: Iterable[Sentence], judges: dict[str, list[bytes]]) -> list[bool]:
+    """Whether the label of each sentence wins among the other shards' dictionaries."""
+    shards = {code: [_compressors({code: b})[code] for b in own] for code, own in judges.items()}
+    return [_judge_by_shards(_canon(t), shards, i) == code for code, i, t in sentences]
+
+
+def winners_on_cluster(spark: SparkSession) -> Callable[[list[Sentence], dict[str, list[bytes]]], list[bool]]:
+    """``winners``, spread over the executors; the sentences are those of the bounded sample."""
+
+    def run(sentences: list[Sentence], judges: dict[str, list[bytes]]) -> list[bool]:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"at": b["at"], "won": winners(zip(b.code, b.shard, b.text), judges)})
+
+        rows = pd.DataFrame(sentences, columns=["code", "shard", "text"]).rename_axis("at").reset_index()
+        parts = max(1, min(2 * spark.sparkContext.defaultParallelism, len(rows) // 256))
+        df = spark.createDataFrame(rows, "at long, code string, shard int, text string").repartition(parts, "at")
+        won = df.mapInPandas(part, "at long, won boolean").toPandas()
+        return won.sort_values("at").won.tolist()
+
+    return run
+
+
+def fit_dictionaries(labelled: list[tuple[str, str]], rounds: int = 3, shards: int = 6, judged: Callable = winners) -> dict[str, bytes]:
     """Dictionaries from (code, text) pairs, some of them with wrong labels.
 
     The texts of each label are dealt to shards with a dictionary each. A sentence
     is judged by the median of the other shards, so that texts with a wrong label,
     being in few of them, cannot vouch for themselves; it stays if its own label
     wins. A sentence found under several labels (a notice that stands in many
-    texts) belongs to the one with most of them, or to none. The dictionaries that come out hold the sentences that stayed.
+    texts) belongs to the one with most of them, or to none. The dictionaries that
+    come out hold the sentences that stayed.
     """
-    dealt: dict[str, list[list[str]]] = defaultdict(lambda: [[] for _ in range(shards)])
-    for i, (code, text) in enumerate(labelled):
-        dealt[code][i % shards] += [s for p in paragraphs(text) for s in sentences(p)]
+    dealt: list[Sentence] = []
+    nth: Counter = Counter()
+    for code, text in labelled:
+        dealt += [(code, nth[code] % shards, s) for p in paragraphs(text) for s in sentences(p)]
+        nth[code] += 1
     labels: dict[bytes, Counter] = defaultdict(Counter)
-    for code, parts in dealt.items():
-        for part in parts:
-            for t in part:
-                labels[_canon(t)][code] += 1
-    mostly = lambda t, code: 2 * labels[t][code] > labels[t].total()
-    dealt = {code: [[t for t in part if mostly(_canon(t), code)] for part in parts] for code, parts in dealt.items()}
+    for code, _, t in dealt:
+        labels[_canon(t)][code] += 1
+    dealt = [(code, i, t) for code, i, t in dealt if 2 * labels[_canon(t)][code] > labels[_canon(t)].total()]
     kept = dealt
-    for _ in range(rounds):
-        judges = {}
-        for code, parts in kept.items():
-            filled = [_fill(p, DICT_BYTES // 4) for p in parts]
-            judges[code] = [_compressors({code: b})[code][0] for b in filled]
-        kept = {
-            code: [[t for t in part if _judge_by_shards(_canon(t), judges, i) == code] for i, part in enumerate(parts)]
-            for code, parts in dealt.items()
-        }
-        kept = {code: parts for code, parts in kept.items() if any(parts)}
-    joined = {code: [t for row in zip_longest(*parts) for t in row if t] for code, parts in kept.items()}
+    for _ in range(rounds if dealt else 0):
+        by_shard = _by_shard(kept, shards)
+        judges = {code: [_fill(p, DICT_BYTES // 4) for p in parts] for code, parts in by_shard.items()}
+        kept = [s for s, won in zip(dealt, judged(dealt, judges)) if won]
+    joined = {code: [t for row in zip_longest(*parts) for t in row if t] for code, parts in _by_shard(kept, shards).items()}
     return {code: _fill(t, DICT_BYTES) for code, t in sorted(joined.items())}
 
 
+def _by_shard(sentences: list[Sentence], shards: int) -> dict[str, list[list[str]]]:
+    out: dict[str, list[list[str]]] = defaultdict(lambda: [[] for _ in range(shards)])
+    for code, i, t in sentences:
+        out[code][i].append(t)
+    return out
+
+
 def dictionaries_of(documents: DataFrame, codes: list[str], names: dict[str, str], sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Fit on at most ``sample_docs`` documents for each label, chosen by hash."""
-    coded = documents.where(F.length("text").between(100, 20000)).select("doc_id", label_code(F.col("lang"), codes, names).alias("code"), "text").where("code IS NOT NULL")
+    """Fit on at most ``sample_docs`` documents of ``SAMPLE_CHARS`` characters for each label, chosen by hash."""
+    coded = documents.where(F.length("text").between(*SAMPLE_CHARS)).select("doc_id", label_code(F.col("lang"), codes, names).alias("code"), "text").where("code IS NOT NULL")
     counts = {r["code"]: r["count"] for r in coded.groupBy("code").count().collect()}  # one row a language
     if not counts:
         return {}
@@ -162,10 +181,10 @@ def dictionaries_of(documents: DataFrame, codes: list[str], names: dict[str, str
         if taken[r.code] < sample_docs:
             taken[r.code] += 1
             sample.append((r.code, r.text))
-    return fit_dictionaries(sample)
+    return fit_dictionaries(sample, judged=winners_on_cluster(documents.sparkSession))
 
 
-def segments_of(text: str, compressors: dict[str, tuple[zstandard.ZstdCompressor, bool | None]]) -> list[tuple[int, str, int, float]]:
+def segments_of(text: str, compressors: dict[str, zstandard.ZstdCompressor]) -> list[tuple[int, str, int, float]]:
     """(para_no, language, characters, mean confidence) of each paragraph's languages."""
     out = []
     for no, paragraph in enumerate(paragraphs(text), 1):
