@@ -34,6 +34,11 @@ LEAST_DOCS, LEAST_Z, LEAST_LIFT = 3, 5.0, 2.0
 #: The share of the prose from which a subject counts.
 LEAST_SHARE = 1 / 6
 ROUNDS = 4
+#: The least share of a passage's score that must lie on the subjects it is clamped to;
+#: where the passage speaks that clearly against a label, the label does not hold it.
+LEAST_CLAMPED = 0.02
+#: Terms that may be broadcast with their labels; beyond it joins are shuffled.
+SMALL_TERMS = 100_000
 NEUTRAL = "general"
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN_RUN = re.compile(r"[㐀-䶿一-鿿豈-﫿]+")
@@ -153,28 +158,35 @@ def passages(documents: DataFrame, vocabulary: set[str]) -> DataFrame:
     return source.mapInPandas(read, "doc_id long, signature string, n long, chars long")
 
 
-def propagate(groups: DataFrame, start: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> DataFrame:
+def _scored(edges: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
+    """(gid, s0, s1, ...): the score of every passage, on the subjects it is clamped to."""
+    cols = [f"s{k}" for k in range(len(subjects))]
+    scored = edges.join(labels, "term").groupBy("gid").agg(F.max("allowed").alias("allowed"), *[F.sum(c).alias(c) for c in cols])
+    inside = lambda k: F.col("allowed").isNull() | F.array_contains("allowed", subjects[k]) | F.lit(subjects[k] == NEUTRAL)
+    clamped = [F.when(inside(k), F.col(c)).otherwise(0.0).alias(f"c{k}") for k, c in enumerate(cols)]
+    scored = scored.select("gid", *cols, *clamped)
+    whole, kept = (reduce(lambda a, b: a + b, [F.col(f"{x}{k}") for k in range(len(cols))]) for x in "sc")
+    # a column of its own, so that the sums are not repeated in every expression made of it
+    scored = scored.withColumn("holds", kept >= LEAST_CLAMPED * whole)
+    return scored.select("gid", *[F.when(F.col("holds"), F.col(f"c{k}")).otherwise(F.col(c)).alias(c) for k, c in enumerate(cols)])
+
+
+def propagate(edges: DataFrame, start: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> DataFrame:
     """Labels of the terms after ``rounds`` of passage - term - passage.
 
-    groups: signature, allowed (subjects a clamped passage may take, else null), n.
-    start: term and a column s0, s1, ... for each subject.
+    edges: gid (a kind of passage), allowed (subjects a clamped one may take, else
+    null), n, term. start: term and a column s0, s1, ... for each subject.
     """
     cols = [f"s{k}" for k in range(len(subjects))]
-    groups = groups.withColumn("gid", F.xxhash64("signature", "allowed"))
-    edges = materialize(groups.select("gid", "allowed", "n", F.explode(F.split("signature", " ")).alias("term")), "edges")
+    small = start.count() <= SMALL_TERMS  # labels never get more terms than there are at the start
     labels = start
     for _ in range(rounds):
-        scored = edges.join(labels, "term").groupBy("gid").agg(F.max("allowed").alias("allowed"), *[F.sum(c).alias(c) for c in cols])
-        inside = lambda k: F.col("allowed").isNull() | F.array_contains("allowed", subjects[k]) | F.lit(subjects[k] == NEUTRAL)
-        clamped = [F.when(inside(k), F.col(c)).otherwise(0.0).alias(f"c{k}") for k, c in enumerate(cols)]
-        scored = scored.select("gid", *cols, *clamped)
-        some = reduce(lambda a, b: a + b, [F.col(f"c{k}") for k in range(len(cols))]) > 1e-9
-        sharp = [F.pow(F.when(some, F.col(f"c{k}")).otherwise(F.col(c)), 2).alias(c) for k, c in enumerate(cols)]
-        scored = scored.select("gid", *sharp)
-        scored = scored.select("gid", *_normal(cols))
+        scored = _scored(edges, F.broadcast(labels) if small else labels, subjects)
+        sharp = [F.pow(F.col(c), 2).alias(c) for c in cols]
+        scored = scored.select("gid", *sharp).select("gid", *_normal(cols))
         back = edges.select("gid", "term", "n").join(scored, "gid").groupBy("term").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in cols])
         labels = materialize(back.select("term", *_normal(cols)), "term-labels")
-    return labels
+    return F.broadcast(labels) if small else labels
 
 
 def _normal(cols: list[str]) -> list[Column]:
@@ -200,15 +212,16 @@ def document_subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame,
     totals = found.groupBy("doc_id").agg(F.sum("chars").alias("total"))
     topical = found.where("signature <> ''")
     clamps = seeds.where("trusted").select("doc_id", F.col("subjects").alias("allowed"))
-    groups = topical.join(clamps, "doc_id", "left").groupBy("signature", "allowed").agg(F.sum("n").alias("n"))
+    topical = topical.join(clamps, "doc_id", "left").withColumn("gid", F.xxhash64("signature", "allowed"))
+    groups = topical.groupBy("gid").agg(F.max("signature").alias("signature"), F.max("allowed").alias("allowed"), F.sum("n").alias("n"))
+    edges = materialize(groups.select("gid", "allowed", "n", F.explode(F.split("signature", " ")).alias("term")), "edges")
     cols = [f"s{k}" for k in range(len(subjects))]
     start = spark.createDataFrame([(t, *v) for t, v in vocabulary.items()], ", ".join(["term string", *[f"{c} double" for c in cols]]))
-    terms_now = propagate(groups, start, subjects)
-    kinds = topical.select("signature").distinct().select("signature", F.explode(F.split("signature", " ")).alias("term"))
-    scored = kinds.join(terms_now, "term").groupBy("signature").agg(*[F.sum(c).alias(c) for c in cols])
+    # written, as a filter on expressions of so many columns would be planned for minutes
+    scored = materialize(_scored(edges, propagate(edges, start, subjects), subjects), "passage-scores")
     best = F.array_max(F.array(*[F.struct(F.col(c).alias("w"), F.lit(s).alias("s")) for c, s in zip(cols, subjects)]))["s"]
-    scored = scored.select("signature", best.alias("subject")).where(F.col("subject") != NEUTRAL)
-    parts = topical.join(scored, "signature").groupBy("doc_id", "subject").agg(F.sum("chars").alias("chars"))
+    scored = scored.select("gid", best.alias("subject")).where(F.col("subject") != NEUTRAL)
+    parts = topical.join(scored, "gid").groupBy("doc_id", "subject").agg(F.sum("chars").alias("chars"))
     shares = parts.join(totals, "doc_id").select("doc_id", "subject", (F.col("chars") / F.col("total")).alias("share"), "chars")
     counted = materialize(shares.where(F.col("share") >= least_share - 1e-12), "shares")
     rest = totals.join(counted, "doc_id", "left_anti").select("doc_id", F.lit(NEUTRAL).alias("subject"), F.lit(1.0).alias("share"), F.col("total").alias("chars"))
