@@ -178,3 +178,26 @@ def fts_tokens(q: Column | str) -> Column:
 
 def fts_query(q: Column | str) -> Column:
     return F.array_join(F.transform(fts_tokens(q), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+
+
+def template_name_is_valid(name: Column | str) -> Column:
+    """1 to 32 small letters, digits or underscores."""
+    return F.coalesce(_col(name).rlike(r"^[a-z0-9_]{1,32}\z"), F.lit(False))
+
+
+def has_query_placeholder(template: Column | str) -> Column:
+    return F.coalesce(F.contains(_col(template), F.lit("{query}")), F.lit(False))
+
+
+def react_actions(text: Column | str) -> Column:
+    """array<struct<number, tool, input>>: the numbered or single actions of an agent's turn with their inputs."""
+    t = _col(text)
+    line = r"(?im)^[ \t]*Action(?:[ \t]+(\d+))?[ \t]*:[ \t]*([^\n]*)(?:\n[ \t]*Action Input(?:[ \t]+\d+)?[ \t]*:[ \t]*([^\n]*))?"
+    number, tool, given = (F.regexp_extract_all(t, F.lit(line), F.lit(i)) for i in (1, 2, 3))
+    zipped = F.arrays_zip(number.alias("number"), tool.alias("tool"), given.alias("input"))
+    return F.transform(zipped, lambda z: F.struct(F.nullif(z["number"], F.lit("")).cast("int").alias("number"), F.trim(z["tool"]).alias("tool"), F.trim(z["input"]).alias("input")))
+
+
+def final_answer(text: Column | str) -> Column:
+    """What follows the last ``Final Answer:``; null where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(_col(text), r"(?is)^.*Final Answer:(.*)\z", 1)), F.lit(""))

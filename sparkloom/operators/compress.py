@@ -15,12 +15,24 @@ from ..functions.text import lacks_information, similarity
 from .splitters import code_segments
 
 # English words that carry little.
-FILLERS = frozenset(
-    "a an the is are was were be been being have has had do does did will would could should may might must can of in on at to for with "
-    "by from as into onto upon about through during before after above below between within without against and or but nor so yet both "
-    "either neither each every all any some such no not only own same than too very just also now then here there when where why how what "
-    "which who whom this that these those i you he she it we they them their theirs our".split()
-)
+FILLERS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "can", "of", "in", "on", "at", "to", "for", "with", "by", "from", "as", "into", "onto", "upon", "about",
+    "through", "during", "before", "after", "above", "below", "between", "within", "without", "against", "and", "or", "but", "nor", "so", "yet",
+    "both", "either", "neither", "each", "every", "all", "any", "some", "such", "no", "not", "only", "own", "same", "than", "too", "very", "just",
+    "also", "now", "then", "here", "there", "when", "where", "why", "how", "what", "which", "who", "whom", "this", "that", "these", "those", "i",
+    "you", "he", "she", "it", "we", "they", "them", "their", "theirs", "our", "ours", "your", "yours", "his", "her", "hers", "its", "my", "mine",
+    "me", "him", "us", "myself", "yourself", "himself", "herself", "itself", "ourselves", "yourselves", "themselves",
+)
+# Chinese words that carry little.
+FILLERS_ZH = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这", "那", "这个", "那个", "这些", "那些", "什么", "怎么", "为什么", "可以", "能", "把", "被", "让", "使", "给", "对", "从", "向",
+    "为", "以", "于", "与", "及", "或", "但", "而", "且", "则", "才", "再", "又", "还", "已", "正", "正在", "应该", "可能", "也许", "或许", "大概", "大约",
+    "左右", "上下", "因为", "所以", "如果", "虽然", "但是", "然而", "不过", "除了", "除非", "即使", "尽管", "无论", "不管", "只要", "只有", "才", "就", "便",
+    "即", "然后", "后来", "接着", "首先", "其次", "最后", "终于",
+)
+_SMALL_WORDS = frozenset((*FILLERS, *FILLERS_ZH))
 _HAN = re.compile(r"[一-鿿]")
 
 
@@ -55,6 +67,24 @@ def sentence_score(sentence: str, query: str) -> float:
     return score + len(re.findall(r"[0-9]", sentence)) + 0.5 * len(_HAN.findall(sentence))
 
 
+def without_fillers(sentence: str) -> str:
+    """The sentence without small words; of Chinese words the characters that are no small words stay.
+
+    Marks around a word do not count when it is looked up; marks alone stay.
+    """
+    out = []
+    for word in sentence.split():
+        marks = re.match(r"([\W_]*)(.*?)([\W_]*)\Z", word, re.S)
+        before, core, after = marks.groups()
+        if core and _HAN.search(core):
+            core = "".join(c for c in core if c not in _SMALL_WORDS)
+            if core:
+                out.append(before + core + after)
+        elif not core or core.lower() not in _SMALL_WORDS:
+            out.append(word)
+    return " ".join(out)
+
+
 def keep_count(n: int, ratio: float) -> int:
     return max(math.ceil(n / ratio), math.ceil(n / math.sqrt(ratio)))
 
@@ -72,7 +102,7 @@ def compress(text: str, query: str, ratio: float, score: Callable[[str, str], fl
         if not sentences:
             continue
         order = sorted(range(len(sentences)), key=lambda i: (-score(sentences[i], query), i))[: keep_count(len(sentences), ratio)]
-        kept = (" ".join(w for w in sentences[i].split() if w.lower() not in FILLERS) for i in sorted(order))
+        kept = (without_fillers(sentences[i]) for i in sorted(order))
         out.append(collapse(" ".join(k for k in kept if k)))
     return "\n".join(out)
 

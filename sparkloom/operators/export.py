@@ -48,3 +48,31 @@ def rag_prompt(hits: DataFrame, by: str) -> DataFrame:
     """(by, prompt): sources numbered from 1 in rank order."""
     part = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] 来源《"), F.col("doc_name"), F.lit("》：\n"), F.col("content"), F.lit("\n\n"))
     return hits.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", part.alias("s"))))["s"], "").alias("prompt"))
+
+
+# Marks of severities in a report.
+SEVERITY_MARKS = {"high": "🔴", "medium": "🟡", "low": "🟢"}
+
+
+def audit_markdown(reports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(report_id, markdown): audit reports with their contradictions, numbered in the order of pair_id.
+
+    reports: report_id, doc_name, chunks, claims. pairs: report_id, pair_id, verdict,
+    severity, claim_a, claim_b, explanation; only contradictions are listed.
+    """
+    mark = F.lit("")
+    for severity, sign in SEVERITY_MARKS.items():
+        mark = F.when(F.col("severity") == severity, sign).otherwise(mark)
+    body = F.concat_ws("\n", F.concat(F.lit("- A: "), "claim_a"), F.concat(F.lit("- B: "), "claim_b"), F.concat(F.lit("- "), "explanation"))
+    listed = pairs.where("verdict = 'contradiction'").select("report_id", F.struct("pair_id", mark.alias("mark"), body.alias("body")).alias("p"))
+    # the pairs of one report, which a reader is to read
+    gathered = listed.groupBy("report_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    joined = reports.join(gathered, "report_id", "left")
+    found = F.coalesce(F.size("p"), F.lit(0))
+    items = F.transform("p", lambda x, i: F.concat(F.lit("### "), x["mark"], F.lit(" "), (i + 1).cast("string"), F.lit(". "), x["pair_id"], F.lit("\n"), x["body"]))
+    head = F.concat(
+        F.lit("## Audit: "), "doc_name", F.lit("\n\n- chunks: "), F.col("chunks").cast("string"), F.lit("\n- claims: "), F.col("claims").cast("string"),
+        F.lit("\n- contradictions: "), F.greatest(found, F.lit(0)).cast("string"), F.lit("\n\n"),
+    )
+    text = F.when(F.col("p").isNull(), "No contradictions found.").otherwise(F.array_join(items, "\n\n"))
+    return joined.select("report_id", F.concat(head, text).alias("markdown"))

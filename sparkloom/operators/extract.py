@@ -45,6 +45,20 @@ PRONOUNS_EN = ("he", "she", "they", "it", "He", "She", "They", "It")
 CONJUNCTIONS_ZH = ("因此", "所以", "然后", "但是", "不过", "而且", "并且", "从而", "于是", "由此")
 CONJUNCTIONS_EN = ("Therefore", "So", "Then", "But", "However", "And", "Thus", "Hence", "Moreover", "Furthermore")
 
+# The commonest Chinese surnames of one character. A fuller list is a parameter.
+SURNAMES = (
+    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳鲍史唐"
+    "费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康"
+)
+# Words that begin like a name and are none.
+NOT_NAMES = (
+    "中国", "中华", "中文", "中关", "中心", "之后", "之前", "之中", "其中", "这个", "这些", "这样", "这里", "这是", "这种", "那个", "那些", "那样",
+    "那里", "什么", "怎么", "为什么", "那么", "可以", "可能", "应该", "需要", "已经", "正在", "曾经", "将会", "因为", "所以", "但是", "虽然", "然而",
+    "使用", "实现", "通过", "进行", "包括", "包含", "我们", "他们", "你们", "自己", "它们",
+)
+
+# Patterns of technical terms, identifiers and dates. Digits and word
+# characters are ASCII here, as in Java's patterns without flags.
 PASCAL = r"\b[A-Z][a-z]+[A-Z][a-z]*\w*"
 CAMEL = r"\b[a-z]+[A-Z]\w*"
 SNAKE = r"\b[A-Z][A-Z_]{2,}[A-Z]\b"
@@ -81,14 +95,26 @@ def dates(text: Column) -> Column:
     return F.array_distinct(F.concat(_found(text, DATE), _found(text, DATE_ZH)))
 
 
-def entities(text: Column) -> Column:
-    """array<struct<entity, type>>: all kinds in order; of equal texts the first kind counts."""
-    kinds = {"proper_noun": proper_nouns(text), "tech_term": tech_terms(text), "identifier": identifiers(text), "date": dates(text)}
+def persons(text: Column, surnames: str = SURNAMES, not_names: tuple[str, ...] = NOT_NAMES) -> Column:
+    """Chinese names: a surname and one more character, two or three more where the shorter word is no name.
+
+    The character after a name is skipped, so that it begins no other.
+    """
+    if not surnames:
+        return F.array().cast("array<string>")
+    kinds = [rf"(?!(?:{'|'.join(w for w in not_names if len(w) == n) or '(?!)'}))[{surnames}][一-鿿]{{{n - 1}}}" for n in (2, 3, 4)]
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)({'|'.join(kinds)}).?"), F.lit(1))
+    return F.array_distinct(found)
+
+
+def entities(text: Column, surnames: str = SURNAMES) -> Column:
+    """array<struct<entity, type>>: all kinds in order, persons first; of equal texts the first kind counts."""
+    kinds = {"person": persons(text, surnames), "proper_noun": proper_nouns(text), "tech_term": tech_terms(text), "identifier": identifiers(text), "date": dates(text)}
 
     def named(found: Column) -> Column:
         def one(e: Column) -> Column:
             kind = F.lit("date")
-            for name in ("identifier", "tech_term", "proper_noun"):
+            for name in ("identifier", "tech_term", "proper_noun", "person"):
                 kind = F.when(F.array_contains(found[name], e), name).otherwise(kind)
             return F.struct(e.alias("entity"), kind.alias("type"))
 
@@ -99,24 +125,6 @@ def entities(text: Column) -> Column:
     return F.element_at(F.transform(F.array(found), named), 1)
 
 
-def persons_zh(text: str, surnames: frozenset[str], not_names: frozenset[str] = frozenset()) -> list[str]:
-    """Chinese names: a surname and one more character; longer ones only past the stop list."""
-    out, i = [], 0
-    han = lambda c: "一" <= c <= "鿿"
-    while i < len(text):
-        hit = 0
-        if text[i] in surnames:
-            for n in (2, 3, 4):
-                name = text[i : i + n]
-                if len(name) == n and all(map(han, name)) and name not in not_names:
-                    hit = n
-                    break
-        if hit:
-            out.append(text[i : i + hit])
-        i += hit + 1 if hit else 1
-    return list(dict.fromkeys(out))
-
-
 def _rules_in(sentence: str) -> list[tuple[str, float, str, bool]]:
     """(type, confidence, phrase, is a pattern) of the rules whose words the sentence has, surest first."""
     out = []

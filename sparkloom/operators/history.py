@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
+
 
 def newest_within_budget(messages: DataFrame, by: str, order: list[str], cost: Column, budget: int, least: int = 1) -> DataFrame:
     """The newest messages of each group whose costs fit the budget; at least ``least``.
@@ -89,3 +93,50 @@ def summary_tree(chunks: DataFrame, doc: str, key: str, order: str, text: str, f
         count = F.count("*").over(Window.partitionBy(doc))
         base = made.withColumn("n", count).where("n > 1").select(doc, F.concat_ws(":", F.lit(f"L{level}"), "node").alias("id"), "content", F.col("node").alias("pos"))
     return out
+
+
+def expand_summaries(tree: DataFrame, hits: DataFrame) -> DataFrame:
+    """(hit, chunk): the chunks below each summary node that was hit.
+
+    tree: node, child_ids; a child that is no node itself is a chunk. hits: node.
+    One join a level, until no node is left to open; a node met again below the
+    same hit is not opened twice, so a cycle ends.
+    """
+    edges = materialize(tree.select(F.col("node").alias("parent"), F.explode("child_ids").alias("child")), "summary-edges")
+    inner = edges.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+    edges = materialize(edges.join(inner, "child", "left"), "summary-edges")
+    open_ = hits.select(F.col("node").alias("hit"), F.col("node").alias("at")).distinct()
+    seen, found = open_, None
+    while True:
+        below = materialize(open_.join(edges, F.col("at") == F.col("parent")).select("hit", F.col("child").alias("at"), "inner").distinct(), "summary-level")
+        leaves = below.where("inner IS NULL").select("hit", F.col("at").alias("chunk"))
+        found = leaves if found is None else found.unionByName(leaves)
+        open_ = below.where("inner").select("hit", "at").join(seen, ["hit", "at"], "left_anti")
+        if open_.isEmpty():
+            return found.distinct()
+        seen = seen.unionByName(open_)
+
+
+def compact_history(messages: DataFrame, by: str, order: list[str], cost: Column, limit: int, summarize: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(by, part, role, content, ...): histories above ``limit`` as a summary and their newest messages.
+
+    The newest messages within two thirds of the limit stay, the last one in any
+    case; those before give way to one system message in front. Histories within the
+    limit or of at most two messages stay whole. ``summarize`` gets the old messages
+    and returns (by, content); without it the summary says how many were left out.
+    """
+    whole, back = Window.partitionBy(by), Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
+    m = messages.withColumn("cost_", cost)
+    m = m.withColumn("n_", F.count("*").over(whole)).withColumn("all_", F.sum("cost_").over(whole))
+    m = m.withColumn("back_", F.row_number().over(back)).withColumn("used_", F.sum("cost_").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    short = (F.col("n_") <= 2) | (F.col("all_") <= limit)
+    stays = short | (F.col("used_") <= limit * 2 // 3) | (F.col("back_") == 1)
+    narrow = [by, *order, "role", "content"]
+    kept = m.where(stays).select(*narrow, F.lit(1).alias("part"))
+    old = m.where(~stays)
+    if summarize is None:
+        told = old.groupBy(by).agg(F.concat(F.lit("(earlier messages left out: "), F.count("*").cast("string"), F.lit(")")).alias("content"))
+    else:
+        told = summarize(old.select(*narrow)).select(by, F.concat(F.lit("[对话历史摘要] "), "content").alias("content"))
+    nulls = [F.lit(None).cast(dict(messages.dtypes)[c]).alias(c) for c in order]
+    return told.select(by, *nulls, F.lit("system").alias("role"), "content", F.lit(0).alias("part")).unionByName(kept)

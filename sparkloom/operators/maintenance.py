@@ -59,7 +59,7 @@ def retain(df: DataFrame, at: str, now: int, seconds: int) -> DataFrame:
 
 
 def add_tag(tags: Column, tag: str) -> Column:
-    return F.array_union(tags, F.array(F.lit(tag)))
+    return F.when(F.array_contains(tags, tag), tags).otherwise(F.array_append(tags, F.lit(tag)))
 
 
 def remove_tag(tags: Column, tag: str) -> Column:
@@ -93,8 +93,17 @@ def memory_tiers(memories: DataFrame, caps: tuple[int, int, int] = (50, 100, 500
     up = (F.col("tier") == "hall") & (F.col("size") > hall) & (F.col("importance") >= 0.7)
     m = counted(m.select("memory_id", F.when(up, "room").otherwise(F.col("tier")).alias("tier"), "importance", "access_count"))
     over = m.where((F.col("tier") == "room") & (F.col("size") > room))
-    first = over.withColumn("nth", F.row_number().over(Window.orderBy("access_count", "memory_id"))).where(F.col("nth") <= F.col("size") - room)
-    return m.join(first.select("memory_id"), "memory_id", "left_anti").drop("size")
+    # how many go is one number; the least read are found by a top-k, not by a window over the room
+    size = m.where("tier = 'room'").agg(F.count("*").alias("n")).first().n
+    if size <= room:
+        return m.drop("size")
+    # the read count at which enough have gone is found on counts; only its ties are put in order
+    counts = over.groupBy("access_count").agg(F.count("*").alias("n"))
+    up_to = counts.select("access_count", F.sum("n").over(Window.orderBy("access_count")).alias("through"), "n")  # one row a read count
+    edge = up_to.where(F.col("through") >= size - room).orderBy("access_count").limit(1).first()
+    ties = over.where(F.col("access_count") == edge.access_count).orderBy("memory_id").limit(size - room - (edge.through - edge.n))
+    gone = over.where(F.col("access_count") < edge.access_count).select("memory_id").unionByName(ties.select("memory_id"))
+    return m.join(gone, "memory_id", "left_anti").drop("size")
 
 
 def memory_lines(text: Column, most: int = 5) -> Column:
@@ -202,3 +211,31 @@ def layers(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
         out.append(ready)
         need = {n: before - set(ready) for n, before in need.items() if n not in ready}
     return out
+
+
+def screen_agreement(screens: DataFrame) -> DataFrame:
+    """One row: how often a shadow screen agrees with the deciding one.
+
+    screens: decision, shadow; null where a screen gave none. The disagree rate is
+    over the rows where both gave one, 0 without any.
+    """
+    both = F.col("decision").isNotNull() & F.col("shadow").isNotNull()
+    out = screens.agg(
+        F.count_if(both & (F.col("decision") == F.col("shadow"))).alias("agreed"),
+        F.count_if(both & (F.col("decision") != F.col("shadow"))).alias("disagreed"),
+        F.count_if(~both).alias("unavailable"),
+    )
+    rate = F.coalesce(F.try_divide("disagreed", F.col("agreed") + F.col("disagreed")), F.lit(0.0))
+    return out.withColumn("disagree_rate", F.round(rate, 6))
+
+
+def draft_stats(drafts: DataFrame) -> DataFrame:
+    """One row: drafts, accepted, their rate, the mean likeness and mean seconds saved; 0 where there are none.
+
+    drafts: accepted, alike, seconds_saved.
+    """
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return drafts.agg(
+        F.count("*").alias("drafts"), F.count_if("accepted").alias("accepted"), mean(F.col("accepted").cast("int")).alias("accept_rate"),
+        mean("alike").alias("mean_alike"), mean("seconds_saved").alias("mean_saved"),
+    )

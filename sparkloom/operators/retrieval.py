@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
 from ..functions.vectors import cosine
+from ..plans.materialize import materialize
 
 #: Queries in one pass over the data.
 QUERY_ROWS = 512
@@ -86,24 +87,36 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def keyword_hits(texts: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): how often each term stands in each text, ignoring case.
+    """(id, len, hits): each text's number of trigrams and how often the terms stand in it, ignoring case.
 
-    One scan; texts without a term give no row. Terms shorter than three
-    characters match nothing.
+    One scan with one automaton for all terms; hits is an array of (term, tf), empty
+    where none is found. Occurrences of a term do not overlap each other. Terms
+    shorter than three characters match nothing; null texts have no row.
     """
-    low = F.lower(F.col(text_col))
-    some = [t.lower() for t in dict.fromkeys(terms) if len(t) >= 3]
-    if not some:
-        return texts.select(F.col(id_col).alias("id"), F.lit("").alias("term"), F.lit(0).alias("tf")).where("false")
-
-    def counted(text: Column) -> Column:
-        tf = lambda t: F.floor((F.char_length(text) - F.char_length(F.replace(text, F.lit(t)))) / len(t)).cast("int")
-        each = [F.when(F.contains(text, F.lit(t)), F.struct(F.lit(t).alias("term"), tf(t).alias("tf"))) for t in some]
-        return F.array_compact(F.array(*each))
+    import ahocorasick
 
-    # the lower-case text is made once, as the only element of an array
-    hits = F.element_at(F.transform(F.array(low), counted), 1)
-    return texts.where(low.isNotNull()).select(F.col(id_col).alias("id"), F.inline(hits))
+    some = [t.lower() for t in dict.fromkeys(terms) if len(t) >= 3]
+    source = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for t in some:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+        for batch in batches:
+            lengths, hits = [], []
+            for low in batch.column("low").to_pylist():
+                free: dict[str, int] = {}
+                tf: dict[str, int] = {}
+                for end, t in automaton.iter(low) if some else ():
+                    if end - len(t) + 1 >= free.get(t, 0):
+                        tf[t], free[t] = tf.get(t, 0) + 1, end + 1
+                lengths.append(max(0, len(low) - 2))
+                hits.append([{"term": t, "tf": n} for t, n in tf.items()])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths, pa.int32()), pa.array(hits, kind)], names=["id", "len", "hits"])
+
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, len int, hits array<struct<term:string,tf:int>>")
 
 
 def bm25_search(texts: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -111,23 +124,57 @@ def bm25_search(texts: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
 
     Quoted tokens are substrings whatever their case; length is the number of
     trigrams. A token found in more than half of the texts gets the least weight.
+    Texts are read once; what they are counted by is written narrow.
     """
     tokens = queries.select("query_id", F.explode(F.transform(fts_tokens("query"), lambda t: F.lower(t))).alias("term")).distinct()
     terms = sorted({r.term for r in tokens.select("term").distinct().collect()})  # a stated query set
-    length = F.greatest(F.char_length(F.col(text_col)) - 2, F.lit(0))
-    whole = texts.agg(F.count("*").alias("n_texts"), F.avg(length).alias("avg_len"))
-    hits = keyword_hits(texts, terms, id_col, text_col)
+    counted = materialize(keyword_hits(texts, terms, id_col, text_col), "keyword-hits")
+    whole = counted.agg(F.count("*").alias("n_texts"), F.avg("len").alias("avg_len"))
+    hits = counted.where(F.size("hits") > 0).select("id", "len", F.inline("hits"))
     found = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = found.crossJoin(F.broadcast(whole)).select(
         "term", "avg_len", F.greatest(F.lit(1e-6), F.log((F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf")
     )
-    sized = texts.select(F.col(id_col).alias("id"), length.alias("len"))
-    scored = hits.join(F.broadcast(weight), "term").join(sized, "id")
+    scored = hits.join(F.broadcast(weight), "term")  # one row a term of the query set
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     total = scored.select("id", "term", part.alias("part")).join(F.broadcast(tokens), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(total, ["query_id"], "score", "id", k)
 
 
+def postings(texts: DataFrame, id_col: str = "id", text_col: str = "text", gram: int = 3) -> DataFrame:
+    """(gram, id, tf): the trigram index of the texts, whatever their case.
+
+    A text's grams are counted in its own row, so no text is gathered from others.
+    Texts shorter than a gram and null texts give no rows.
+    """
+    low = F.lower(F.col(text_col))
+    grams = F.transform(F.sequence(F.lit(1), F.char_length("low") - gram + 1), lambda i: F.substring(F.col("low"), i, F.lit(gram)))
+    source = texts.select(F.col(id_col).alias("id"), low.alias("low")).where(F.char_length("low") >= gram)
+    each = source.select("id", F.explode(grams).alias("gram"))
+    return each.groupBy("gram", "id").agg(F.count("*").cast("int").alias("tf"))
+
+
+def refresh_postings(index: DataFrame, changed: DataFrame, gone: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The index after ``changed`` texts were written anew and those of ``gone`` (id) deleted."""
+    stale = changed.select(F.col(id_col).alias("id"))
+    stale = stale if gone is None else stale.unionByName(gone.select("id"))
+    return index.join(stale.distinct(), "id", "left_anti").unionByName(postings(changed, id_col, text_col))
+
+
+def texts_with(index: DataFrame, tokens: DataFrame, gram: int = 3) -> DataFrame:
+    """(term, id): texts that hold all grams of a token (term), from the index alone.
+
+    These are all texts with the token and a few without it, to be checked on the
+    text. The query set is stated; tokens shorter than a gram give no rows.
+    """
+    low = F.lower("term")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(low) - gram + 1), lambda i: F.substring(low, i, F.lit(gram))))
+    asked = tokens.where(F.char_length("term") >= gram).select("term", grams.alias("grams")).distinct()
+    asked = asked.select("term", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    met = index.join(F.broadcast(asked), "gram").groupBy("term", "n", "id").count()
+    return met.where(F.col("count") == F.col("n")).select("term", "id")
+
+
 def short_query_hits(texts: DataFrame, query: str, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Queries under three characters: texts that contain them, score 1."""
     hits = texts.where(F.contains(F.lower(F.col(text_col)), F.lit(query.lower())))
@@ -140,6 +187,12 @@ def entity_search(mentions: DataFrame, entities: list[str], k: int) -> DataFrame
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
+def entity_lists(mentions: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each query of (query_id, entity) the texts by how many mentions they have."""
+    hits = mentions.join(F.broadcast(asked.distinct()), "entity").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    return ranked(hits, ["query_id"], "score", "id", k)
+
+
 def fuse(lists: dict[str, DataFrame], k: int, by: list[str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Reciprocal-rank fusion of lists (by..., id, score, rank with the best 0).
 

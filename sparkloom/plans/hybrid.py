@@ -1,4 +1,4 @@
-"""Hybrid retrieval: vector and keyword lists, fused, with neighbours."""
+"""Hybrid retrieval: vector, keyword and entity lists, fused, with neighbours."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, embed, hashing_embedder
 from ..operators import retrieval as R
+from ..operators.extract import entities
 from .materialize import materialize
 
 #: Lists are longer than what is asked for by this factor.
@@ -17,14 +18,17 @@ def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, k: int = 8, least: fl
     """(query_id, doc_id, chunk_id, sequence, score) for many queries (query_id, query).
 
     The best k * 3 by vector, of those what reaches ``least``; the best by BM25;
-    fused to 2k (5k before a ``rerank`` function of (hits) that returns them with
+    the best by mentions of the query's entities; fused to 2k (5k before a ``rerank`` function of (hits) that returns them with
     new scores); each with its neighbours, in document order.
     """
     vectors = embed(chunks, "chunk_id", "content", embedder)
     asked = embed(queries, "query_id", "query", embedder).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     by_vector = R.vector_search(vectors, asked, k * OVER).where(F.col("score") >= least)
     by_word = R.bm25_search(chunks, queries, k * OVER, "chunk_id", "content")
-    fused = R.fuse({"vector": by_vector, "keyword": by_word}, 5 * k if rerank else 2 * k, by=["query_id"])
+    mentions = chunks.select(F.col("chunk_id").alias("id"), F.explode(entities(F.col("content"))["entity"]).alias("entity"))
+    named = queries.select("query_id", F.explode(entities(F.col("query"))["entity"]).alias("entity"))
+    by_entity = R.entity_lists(mentions, named, k * OVER)
+    fused = R.fuse({"vector": by_vector, "keyword": by_word, "entity": by_entity}, 5 * k if rerank else 2 * k, by=["query_id"])
     if rerank:
         fused = R.ranked(rerank(fused).drop("rank"), ["query_id"], "score", "id", k)
     fused = materialize(fused, "fused")

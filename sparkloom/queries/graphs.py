@@ -50,9 +50,12 @@ def communities(spark, d):
     return G.label_propagation(_edges(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS ({_BOTH}), r AS (SELECT ['N0'] AS path UNION ALL SELECT list_append(path, dst) FROM r JOIN b ON src = path[-1] WHERE NOT list_contains(path, dst) AND path[-1] <> 'R0' AND len(path) <= 3)
+    SELECT array_to_string(path, ' ') AS path FROM r WHERE path[-1] = 'R0'"""
+)
 def paths_between(spark, d):
-    return G.simple_paths(_edges(spark, d), "N0", "R0", 3)
+    return G.simple_paths(_edges(spark, d), "N0", "R0", 3).select(F.array_join("path", " ").alias("path"))
 
 
 @query(

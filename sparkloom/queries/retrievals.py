@@ -180,29 +180,44 @@ def hybrid_search(spark, d):
     from ..plans.hybrid import hybrid_retrieve
 
     q = table(spark, d, "subject_areas").select(F.col("subject").alias("query_id"), normalize_query("description").alias("query"))
-    chunks = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("sequence").alias("sequence"), F.min("content").alias("content"))
+    first = F.min(F.struct("doc_id", "sequence", "content")).alias("r")
+    chunks = table(spark, d, "chunks").groupBy("chunk_id").agg(first).select("chunk_id", "r.*")
     return hybrid_retrieve(chunks, q, 8)
 
 
-@query()
+_COSINE_OF = "round(list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 6)"
+_VECTORS = "SELECT chunk_id, min(vector) AS v FROM chunk_vectors WHERE len(vector) = 64 GROUP BY chunk_id"
+_SOUND = "len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
+
+
+def _vectors(spark, d):
+    return table(spark, d, "chunk_vectors").where("size(vector) = 64").groupBy("chunk_id").agg(F.min("vector").alias("vector"))
+
+
+@query(
+    f"""WITH n AS (SELECT min(chunk_id) AS id, v FROM ({_VECTORS}) WHERE {_SOUND} GROUP BY v)
+    SELECT x.id AS a, y.id AS b, {_COSINE_OF.format("x.v", "y.v")} AS score FROM n x JOIN n y ON x.id < y.id WHERE {_COSINE_OF.format("x.v", "y.v")} >= 0.92"""
+)
 def near_vector_pairs(spark, d):
     from ..operators.dedup import near_vector_pairs as pairs
 
-    v = table(spark, d, "chunk_vectors").where("size(vector) = 64").select("chunk_id", "vector").dropDuplicates(["chunk_id"])
-    return pairs(v, "chunk_id", "vector")
+    return pairs(_vectors(spark, d), "chunk_id", "vector")
 
 
-@query()
+@query(f"SELECT chunk_id AS id, min(chunk_id) OVER (PARTITION BY v) AS rep FROM ({_VECTORS})")
 def near_vector_members(spark, d):
     from ..operators.dedup import near_vector_members as members
 
-    v = table(spark, d, "chunk_vectors").where("size(vector) = 64").select("chunk_id", "vector").dropDuplicates(["chunk_id"])
-    return members(v, "chunk_id", "vector")
+    return members(_vectors(spark, d), "chunk_id", "vector")
 
 
-@query()
+@query(
+    f"""WITH f AS (SELECT chunk_id, doc_id FROM (SELECT chunk_id, min(doc_id) AS doc_id, min(sequence) AS sequence FROM chunks GROUP BY chunk_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sequence, chunk_id) <= 3),
+    n AS (SELECT chunk_id, doc_id, v FROM f JOIN ({_VECTORS}) USING (chunk_id) WHERE {_SOUND})
+    SELECT x.chunk_id AS a, y.chunk_id AS b, {_COSINE_OF.format("x.v", "y.v")} AS score, x.doc_id AS doc_a, y.doc_id AS doc_b FROM n x JOIN n y ON x.chunk_id < y.chunk_id AND x.doc_id <> y.doc_id WHERE {_COSINE_OF.format("x.v", "y.v")} >= 0.70"""
+)
 def contradiction_candidates(spark, d):
     from ..operators.dedup import contradiction_candidates as candidates
 
     c = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("sequence").alias("sequence"))
-    return candidates(c, table(spark, d, "chunk_vectors").where("size(vector) = 64").select("chunk_id", "vector"))
+    return candidates(c, _vectors(spark, d))

@@ -157,7 +157,13 @@ def burst_sessions(spark, d):
     return M.burst_sessions(e, "user_id", F.col("at"), 3600).groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("at").alias("begins"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n FROM events),
+    r AS (SELECT event_id, user_id, sec, n, true AS admitted, [sec] AS recent FROM e WHERE n = 1
+      UNION ALL SELECT event_id, user_id, sec, n, len(still) < 3, CASE WHEN len(still) < 3 THEN list_append(still, sec) ELSE still END
+      FROM (SELECT e.event_id, e.user_id, e.sec, e.n, list_filter(r.recent, lambda t: t > e.sec - 86400) AS still FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT event_id, user_id, sec AS "at", admitted FROM r"""
+)
 def rate_limited(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("at"))
     return M.admit(e, "user_id", "at", 3, 86400)
@@ -193,7 +199,9 @@ def best_methods(spark, d):
     return M.best_method(_stats(spark, d), kinds.withColumn("fallback", F.lit("vector")))
 
 
-@query()
+@query(
+    """SELECT user_id, round(list_reduce(list_concat([0.5::DOUBLE], list([-0.10, -0.15, 0.05, 0.20, -0.25][event_id % 5 + 1]::DOUBLE ORDER BY ts, event_id)), lambda s, x: least(greatest(s + x, 0), 1)), 6) AS score FROM events GROUP BY user_id"""
+)
 def feedback_scores(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in M.FEEDBACK]), (F.col("event_id") % len(M.FEEDBACK) + 1).cast("int"))
     e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id", kind.alias("f")).alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list("x"))["f"].alias("f"))

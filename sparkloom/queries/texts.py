@@ -154,7 +154,12 @@ def answer_slices(spark, d):
     return c.select("cache_id", F.posexplode(splitters.answer_slices(F.col("answer_text"))).alias("slice", "part"))
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT cache_id, query_text, list_filter(list_transform(regexp_split_to_array(query_text, '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_-]', '', 'g')), lambda x: x <> '') AS every FROM semantic_cache),
+    o AS (SELECT cache_id, query_text, list_filter(every, lambda x, i: list_position(every, x) = i) AS words FROM w),
+    t AS (SELECT cache_id, query_text, CASE WHEN len(words) = 1 AND length(words[1]) > 3 AND regexp_matches(words[1], '[一-鿿]') THEN list_transform(generate_series(1, greatest(length(words[1]) - 2, 1)), lambda i: substr(words[1], i::BIGINT, 3)) ELSE words END AS every FROM o)
+    SELECT cache_id, array_to_string(list_transform(list_filter(every, lambda x, i: list_position(every, x) = i), lambda x: '"' || x || '"'), ' OR ') AS expression FROM t"""
+)
 def search_expressions(spark, d):
     return table(spark, d, "semantic_cache").select("cache_id", T.fts_query("query_text").alias("expression"))
 

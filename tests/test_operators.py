@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions.embed import hashing_embedder
 from sparkloom.functions.vectors import cosine
-from sparkloom.operators import export, extract, graph, history, maintenance, paths, privacy, retrieval, splitters
+from sparkloom.operators import caches, compress, export, extract, graph, history, links, maintenance, memory, paths, privacy, retrieval, splitters, symbols
+from sparkloom.plans.index import index_documents
 from sparkloom.sources import loaders
 
 
@@ -45,7 +46,11 @@ def test_entities(spark):
         "192.168.1.1": "identifier", "404": "identifier", "2024-01-05": "date", "Server": "proper_noun",
     }
     assert "The" not in kinds and one(spark, extract.entities(F.lit(""))) == []
-    assert extract.persons_zh("张三今天完成了代码审查，李明也提交了", frozenset("张李")) == ["张三", "李明"]
+    texts = ["张三今天完成了代码审查，李明也提交了 PR。", "应该由她来做", "", None, "王", "张三张三"]
+    found = [r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select(extract.persons(F.col("t")).alias("p")).collect()]
+    assert found == [["张三", "李明"], [], [], None, [], ["张三"]]
+    more = spark.createDataFrame([("应该由", ), ("应小由", )], "t string").select(extract.persons(F.col("t"), "应").alias("p")).collect()
+    assert [r.p for r in more] == [["应该由"], ["应小"]]
 
 
 def test_relations():
@@ -248,3 +253,103 @@ def test_graph_of_a_long_chain(spark):
     with pytest.raises(RuntimeError):
         graph.components(chain, 1)
     assert {r.component for r in graph.components(chain).collect()} == {0}
+
+
+def test_fold_paths_over_a_long_chain(spark):
+    rows = [(i, i - 1 if i else None, 1, str(i % 10)) for i in range(300)] + [(900, 901, 1, "x"), (901, 900, 1, "y"), (950, 999, 1, "z")]
+    nodes = spark.createDataFrame(rows, "id long, parent long, n long, s string")
+    got = paths.fold_paths(nodes, ["n", "s"], lambda up, down: {"n": up["n"] + down["n"], "s": F.right(F.concat(up["s"], down["s"]), F.lit(3))})
+    got = {r.id: r for r in got.collect()}
+    assert [(got[i].root, got[i].n, got[i].state) for i in range(300)] == [(0, i + 1, "ok") for i in range(300)]
+    assert got[299].s == "789" and got[1].s == "01"
+    assert got[900].state == got[901].state == "cycle" and (got[950].state, got[950].root) == ("orphan", 999)
+
+
+def test_semantic_lookup_takes_the_best_that_lives(spark):
+    cache = spark.createDataFrame([(1, [1.0, 0.0], 100), (2, [1.0, 0.1], 900), (3, [1.0, 0.5], 950), (4, None, 950), (2, [1.0, 0.1], 900)], "cache_id long, query_embedding array<float>, created_at long")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, -1.0])], "query_id long, query_vec array<float>")
+    got = [(r.query_id, r.id) for r in caches.semantic_lookup(cache, asked, 0.5, 1000, 500).collect()]
+    assert got == [(7, 2)]
+    assert [(r.query_id, r.id) for r in caches.semantic_lookup(cache, asked, 0.5, 1000, 900).collect()] == [(7, 1)]
+    assert caches.semantic_lookup(cache.limit(0), asked, 0.5, 1000, 500).count() == 0
+
+
+def test_invalidation_by_name_in_quotes(spark):
+    cache = spark.createDataFrame([(1, '[{"doc": "a.md"}]'), (2, '[{"doc": "aa.md"}]'), (3, None)], "id long, sources_json string")
+    names = spark.createDataFrame([("a.md",), (None,)], "name string")
+    assert {r.id for r in caches.invalidate_by_document(cache, names).collect()} == {2, 3}
+
+
+def test_memories(spark):
+    m = spark.createDataFrame([(1, "Rust", 0.5, 10, 0), (2, "rusty", 0.5, 20, 0), (3, "x", 1.0, 1, 0)], "memory_id long, content string, importance double, last_accessed long, access_count int")
+    assert [r.memory_id for r in memory.search_memories(m, "RUST", 2).collect()] == [2, 1]
+    read = memory.bump_access(m, m.where("memory_id = 2"), 99)
+    assert {r.memory_id: (r.access_count, r.last_accessed) for r in read.collect()}[2] == (1, 99)
+    pinned = {r.memory_id: (r.tier, r.importance) for r in memory.pin(m.withColumn("tier", F.lit("wing")), [1]).collect()}
+    assert pinned[1] == ("room", 1.0) and pinned[2] == ("wing", 0.5)
+
+
+def test_symbols_of_fenced_code(spark):
+    text = "intro\n```rust\npub fn load_all() {}\nstruct Big;\n```\n~~~py\nclass A:\n    def f(self):\n        pass\n~~~\n```\nfn hidden() {}\n```"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "fn none() {}")], "k long, t string")
+    got = [(r.id, r.name, r.kind) for r in symbols.symbols_of_texts(df, "k", "t").collect()]
+    assert got == [(1, "load_all", "function"), (1, "Big", "struct"), (1, "A", "class"), (1, "f", "method")]
+    words = one(spark, symbols.identifier_names(F.lit("how does HashMap::insert_all and fooBar work, x _")))
+    assert words == ["HashMap", "insert_all", "fooBar"]
+
+
+def test_backlinks_hold_names_in_targets(spark):
+    made = spark.createDataFrame([(1, "My Notes (2)"), (2, "notes"), (3, None), (4, "")], "source long, target string")
+    names = spark.createDataFrame([("Notes",), ("",), (None,), ("zz",)], "name string")
+    assert {(r.name, r.source) for r in links.backlinks(made, names).collect()} == {("Notes", 1), ("Notes", 2)}
+    assert links.backlinks(made, names.limit(0)).count() == 0
+
+
+def test_summary_expansion_opens_every_level(spark):
+    tree = spark.createDataFrame([("t", ["m1", "m2"]), ("m1", ["c1", "c2"]), ("m2", ["c3", "t"]), ("other", ["c9"])], "node string, child_ids array<string>")
+    hits = spark.createDataFrame([("t",), ("m1",)], "node string")
+    got = {(r.hit, r.chunk) for r in history.expand_summaries(tree, hits).collect()}
+    assert got == {("t", "c1"), ("t", "c2"), ("t", "c3"), ("m1", "c1"), ("m1", "c2")}
+
+
+def test_compaction_keeps_the_newest(spark):
+    rows = [(1, i, "user", "x" * 40) for i in range(10)] + [(2, 1, "user", "y" * 4000), (2, 2, "assistant", "z")]
+    m = spark.createDataFrame(rows, "c long, i long, role string, content string")
+    out = history.compact_history(m, "c", ["i"], T.token_estimate("content"), 60).collect()
+    assert sorted(r.i for r in out if r.c == 1 and r.part == 1) == [6, 7, 8, 9]
+    assert [r.role for r in out if r.part == 0] == ["system"] and sum(r.c == 2 for r in out) == 2
+
+
+def test_postings_follow_their_texts(spark):
+    texts = spark.createDataFrame([(1, "Banana"), (2, "ab"), (3, None), (4, "bandana")], "id long, text string")
+    index = retrieval.postings(texts)
+    assert {(r.gram, r.id): r.tf for r in index.collect()}[("ana", 1)] == 2
+    changed = spark.createDataFrame([(1, "cabana")], "id long, text string")
+    gone = spark.createDataFrame([(4,)], "id long")
+    index = retrieval.refresh_postings(index, changed, gone)
+    found = retrieval.texts_with(index, spark.createDataFrame([("BANA",), ("ban",), ("an",)], "term string"))
+    assert {(r.term, r.id) for r in found.collect()} == {("BANA", 1), ("ban", 1)}
+
+
+def test_index_pipeline(spark):
+    docs = spark.createDataFrame([(1, "# Head\nHashMap depends on Rust. See [[Other|x]].", 5), (2, "  ", 5), (3, None, 5), (1, "# Head\nHashMap depends on Rust. See [[Other|x]].", 6)], "doc_id long, text string, content int")
+    out = index_documents(docs)
+    assert {r.doc_id: (r.status, r.status_reason) for r in out["status"].collect()} == {1: ("indexed", None), 2: ("failed", "no text"), 3: ("failed", "no text")}
+    assert [(r.doc_id, r.target) for r in out["links"].collect()] == [(1, "Other")]
+    assert ("HashMap", "depends_on", "Rust") in {(r.src, r.relation_type, r.dst) for r in out["relations"].collect()}
+    assert {r.entity for r in out["entities"].collect()} >= {"HashMap", "Rust"}
+    assert out["propositions"].count() and out["chunks"].count() == 1
+    again = index_documents(docs, done=docs.select("doc_id", F.md5("text").alias("file_hash")))
+    assert {r.doc_id: r.status for r in again["status"].collect()}[1] == "unchanged"
+    assert {n: t.count() for n, t in index_documents(docs.limit(0)).items()} == dict.fromkeys(out, 0)
+
+
+def test_small_words_in_two_languages():
+    assert compress.without_fillers("The cat, and THEIR (own) dogs -- 我们的书。 的") == "cat, dogs -- 们书。"
+
+
+def test_agent_fields(spark):
+    text = "Thought: x\nAction: search\nAction Input: cats\nobservation\nAction 2: read\nFinal Answer: done\nwell"
+    assert [(a.number, a.tool, a.input) for a in one(spark, T.react_actions(F.lit(text)))] == [(None, "search", "cats"), (2, "read", "")]
+    assert one(spark, T.final_answer(F.lit(text))) == "done\nwell" and one(spark, T.final_answer(F.lit("none"))) is None
+    assert [one(spark, T.template_name_is_valid(F.lit(x))) for x in ("ok_1", "", "A", "x" * 33, "a\n")] == [True, False, False, False, False]
