@@ -54,28 +54,34 @@ def hops_from(edges: DataFrame, start: DataFrame, most: int | None = None) -> Da
     return latest if reached is None else reached.unionByName(latest)
 
 
-def shortest_path(edges: DataFrame, source, target) -> list:
-    """The nodes of a shortest path; [] if there is none, [x] from x to itself.
+#: Steps of a path that one plan walks back.
+STEPS = 16
+
 
-    The smallest predecessor wins ties. Only the path itself comes to the driver.
+def path_between(edges: DataFrame, source, target) -> DataFrame:
+    """(step, node): a shortest path, step 0 the source; no rows where there is none.
+
+    The smallest predecessor wins ties. From x to itself the path is x, if x is in
+    the graph. The path is walked back by joins of one row, ``STEPS`` in a plan.
     """
-    spark = edges.sparkSession
-    known = edges.where((F.col("src") == F.lit(source)) | (F.col("dst") == F.lit(source))).limit(1).count()
-    if source == target:
-        return [source]
-    if not known:
-        return []
-    kind = dict(edges.dtypes)["src"]
-    reached = hops_from(edges, spark.createDataFrame([(source,)], f"origin {kind}"))
-    at = {r.node: r for r in reached.where(F.col("node") == F.lit(target)).collect()}
-    if target not in at:
-        return []
-    path, node = [target], at[target].before
-    while node is not None:
-        path.append(node)
-        row = reached.where(F.col("node") == F.lit(node)).first()
-        node = row.before
-    return path[::-1]
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    start = undirected(edges).where(F.col("src") == F.lit(source)).select(F.col("src").alias("origin")).distinct()
+    reached = materialize(hops_from(edges, start).select("node", "hops", "before"), "reached")
+    walk = reached.where(F.col("node") == F.lit(target)).select(F.array("node").alias("path"), F.col("before").alias("at"), "hops")
+    walk = materialize(walk, "walk")
+    end = walk.first()
+    left = end.hops if end else 0
+    back = reached.select("node", F.col("before").alias("further"))
+    while left > 0:
+        for _ in range(min(STEPS, left)):
+            walk = walk.join(back, F.col("at") == F.col("node")).select(F.concat(F.array("node"), "path").alias("path"), F.col("further").alias("at"), "hops")
+        walk, left = materialize(walk, "walk"), left - STEPS
+    return walk.select(F.posexplode("path").alias("step", "node")).select("step", F.col("node").cast(kind).alias("node"))
+
+
+def shortest_path(edges: DataFrame, source, target) -> list:
+    """The nodes of ``path_between``; [] if there is none or a node is unknown."""
+    return [r.node for r in path_between(edges, source, target).orderBy("step").collect()]
 
 
 def simple_paths(edges: DataFrame, source, target, most: int = 5) -> DataFrame:

@@ -8,29 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from .ranges import running
 
 
 def newest_within_budget(messages: DataFrame, by: str, order: list[str], cost: Column, budget: int, least: int = 1) -> DataFrame:
     """The newest messages of each group whose costs fit the budget; at least ``least``.
 
     Costs are not negative, so the running sum grows and stops at the first
-    message that does not fit.
+    message that does not fit. Groups may have any size (``ranges``).
     """
-    back = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
-    running = messages.withColumn("used", F.sum(cost).over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("back", F.row_number().over(back))
-    return running.where((F.col("used") <= budget) | (F.col("back") <= least)).drop("back")
+    back = running(messages, by, [F.desc(c) for c in order], {"used": cost})
+    return back.where((F.col("used") <= budget) | (F.col("nth") <= least)).drop("nth")
 
 
 def truncate_history(messages: DataFrame, by: str, order: list[str], cost: Column, budget: int, head: int = 2) -> DataFrame:
-    """The first ``head`` messages and the newest that fit beside them; short histories stay whole."""
-    up, down = Window.partitionBy(by).orderBy(*order), Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
-    w = messages.withColumn("nth", F.row_number().over(up)).withColumn("cost_", cost)
-    w = w.withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    w = w.withColumn("head_cost", F.sum(F.when(F.col("nth") <= head, F.col("cost_")).otherwise(0)).over(Window.partitionBy(by)))
-    tail = F.sum(F.when(F.col("nth") > head, F.col("cost_")).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    w = w.withColumn("tail_cost", tail)
-    keep = (F.col("n") <= head) | (F.col("nth") <= head) | (F.col("tail_cost") + F.col("head_cost") <= budget)
-    return w.where(keep).drop("nth", "cost_", "n", "head_cost", "tail_cost")
+    """The first ``head`` messages and the newest that fit beside them; short histories stay whole.
+
+    Groups may have any size (``ranges``).
+    """
+    up = running(messages.withColumn("cost_", cost), by, [F.col(c) for c in order], {"so_far": F.col("cost_")})
+    first = F.col("nth") <= head
+    heads = F.sum(F.when(first, F.col("cost_")).otherwise(0)).alias("head_cost")
+    whole = up.groupBy(F.col(by).alias("by_")).agg(F.sum("cost_").alias("all_cost"), heads)
+    joined = up.join(whole.hint("merge"), F.col(by).eqNullSafe(F.col("by_")))
+    # what the message and those after it cost
+    tail = F.col("all_cost") - F.col("so_far") + F.col("cost_")
+    return joined.where(first | (tail + F.col("head_cost") <= budget)).select(*messages.columns)
 
 
 def compaction_trigger(messages: DataFrame, by: str, cost: Column, limit: int, entries: int = 50) -> DataFrame:
@@ -125,12 +128,11 @@ def compact_history(messages: DataFrame, by: str, order: list[str], cost: Column
     limit or of at most two messages stay whole. ``summarize`` gets the old messages
     and returns (by, content); without it the summary says how many were left out.
     """
-    whole, back = Window.partitionBy(by), Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
-    m = messages.withColumn("cost_", cost)
-    m = m.withColumn("n_", F.count("*").over(whole)).withColumn("all_", F.sum("cost_").over(whole))
-    m = m.withColumn("back_", F.row_number().over(back)).withColumn("used_", F.sum("cost_").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    m = running(messages.withColumn("cost_", cost), by, [F.desc(c) for c in order], {"used": F.col("cost_")})
+    whole = m.groupBy(F.col(by).alias("by_")).agg(F.count("*").alias("n_"), F.sum("cost_").alias("all_"))
+    m = m.join(whole.hint("merge"), F.col(by).eqNullSafe(F.col("by_")))
     short = (F.col("n_") <= 2) | (F.col("all_") <= limit)
-    stays = short | (F.col("used_") <= limit * 2 // 3) | (F.col("back_") == 1)
+    stays = short | (F.col("used") <= limit * 2 // 3) | (F.col("nth") == 1)
     narrow = [by, *order, "role", "content"]
     kept = m.where(stays).select(*narrow, F.lit(1).alias("part"))
     old = m.where(~stays)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,25 +160,28 @@ def rolling_spend(records: DataFrame, by: str, at: Column, cost: str, window: in
 def admit(records: DataFrame, by: str, at: str, most: int, window: int) -> DataFrame:
     """Sliding-window rate limit: refused requests do not count. Adds ``admitted``.
 
-    Refusals feed back, so no window function can say it; each key is one group
-    of (time, id) pairs in an Arrow batch.
+    Refusals feed back, so no window function can say it. Rows stream by in the
+    order of (key, time, id); only the last ``most`` admitted times of one key are
+    held, however many requests it has.
     """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, "event_id"], kind="stable")
-        recent: list[float] = []
-        out = []
-        for t in rows[at]:
-            recent = [r for r in recent if r > t - window]
-            ok = len(recent) < most
-            if ok:
-                recent.append(t)
-            out.append(ok)
-        return rows.assign(admitted=out)
-
     narrow = records.select("event_id", by, at)
-    return narrow.groupBy(by).applyInPandas(run, f"event_id long, {by} {dict(narrow.dtypes)[by]}, {at} {dict(narrow.dtypes)[at]}, admitted boolean")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = object(), deque()
+        for b in batches:
+            out = []
+            for k, t in zip(b[by], b[at]):
+                if k != key and not (pd.isna(k) and key is None):
+                    key, recent = None if pd.isna(k) else k, deque()
+                while recent and recent[0] <= t - window:
+                    recent.popleft()
+                out.append(len(recent) < most)
+                if out[-1]:
+                    recent.append(t)
+            yield b.assign(admitted=out)
+
+    ordered = narrow.repartition(by).sortWithinPartitions(by, at, "event_id")
+    return ordered.mapInPandas(run, f"event_id long, {by} {dict(narrow.dtypes)[by]}, {at} {dict(narrow.dtypes)[at]}, admitted boolean")
 
 
 def once_per_key(records: DataFrame, key: str, at: str, tie: str) -> DataFrame:

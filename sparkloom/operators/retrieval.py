@@ -215,15 +215,14 @@ def fuse(lists: dict[str, DataFrame], k: int, by: list[str] | None = None, weigh
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, doc: str = "doc_id", key: str = "chunk_id", order: str = "sequence", span: int = 1) -> DataFrame:
     """Each hit with the chunks next to it by position; a chunk keeps the score of its best ranked hit.
 
-    hits: key, score, rank. Output (doc, key, order, score) in document order. The
-    position is taken with lead and lag, so no pairs of a document are made.
+    hits: key, score, rank. Output (doc, key, order, score). The position is taken with lead and lag, so no pairs of a document are made.
     """
     w = Window.partitionBy(doc).orderBy(order, key)
     near = [F.lag(key, i).over(w) for i in range(span, 0, -1)] + [F.col(key)] + [F.lead(key, i).over(w) for i in range(1, span + 1)]
     around = chunks.select(F.col(key), F.array_compact(F.array(*near)).alias("near"))
     wide = hits.join(around, key).select(F.explode("near").alias(key), "score", "rank")
     best = wide.groupBy(key).agg(F.min_by("score", "rank").alias("score"))
-    return best.join(chunks.select(doc, key, order), key).select(doc, key, order, "score").orderBy(doc, order, key)
+    return best.join(chunks.select(doc, key, order), key).select(doc, key, order, "score")
 
 
 def late_interaction(query: Column | str, document: Column | str) -> Column:

@@ -76,3 +76,14 @@ def graph_export(spark, d):
 
     types = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"), F.lit("nation & state").alias("type"))
     return graphml(_edges(spark, d), types)
+
+
+@query(
+    f"""WITH RECURSIVE b AS ({_BOTH}), t AS (SELECT 'S' || min(s_suppkey) AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0),
+    r AS (SELECT ['R0'] AS path UNION ALL SELECT list_append(path, dst) FROM r JOIN b ON src = path[-1] WHERE NOT list_contains(path, dst) AND len(path) <= 4)
+    SELECT i - 1 AS step, path[i] AS node FROM (SELECT path, unnest(generate_series(1, len(path))) AS i FROM (SELECT path FROM r, t WHERE path[-1] = node ORDER BY len(path), path LIMIT 1))"""
+)
+def shortest_path(spark, d):
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation").where("n_regionkey = 0")
+    first = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).agg(F.min("s_suppkey").alias("s")).first().s
+    return G.path_between(_edges(spark, d), "R0", f"S{first}")

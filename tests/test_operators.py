@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions.embed import hashing_embedder
 from sparkloom.functions.vectors import cosine
-from sparkloom.operators import caches, compress, export, extract, graph, history, links, maintenance, memory, paths, privacy, retrieval, splitters, symbols
+from sparkloom.operators import caches, compress, export, extract, graph, history, links, maintenance, memory, paths, privacy, ranges, retrieval, splitters, symbols
 from sparkloom.plans.index import index_documents
 from sparkloom.sources import loaders
 
@@ -353,3 +353,15 @@ def test_agent_fields(spark):
     assert [(a.number, a.tool, a.input) for a in one(spark, T.react_actions(F.lit(text)))] == [(None, "search", "cats"), (2, "read", "")]
     assert one(spark, T.final_answer(F.lit(text))) == "done\nwell" and one(spark, T.final_answer(F.lit("none"))) is None
     assert [one(spark, T.template_name_is_valid(F.lit(x))) for x in ("ok_1", "", "A", "x" * 33, "a\n")] == [True, False, False, False, False]
+
+
+def test_running_sums_of_a_group_over_several_ranges(spark):
+    rows = [("hot", i, i % 7) for i in range(500)] + [("b", 1, None), ("b", 2, 5), (None, 1, 4)]
+    df = spark.createDataFrame(rows, "g string, i long, x long").repartition(3)
+    got = {(r.g, r.i): (r.nth, r.s) for r in ranges.running(df, "g", [F.col("i")], {"s": F.col("x")}).collect()}
+    total = 0
+    for i in range(500):
+        total += i % 7
+        assert got["hot", i] == (i + 1, total)
+    assert got["b", 1] == (1, 0) and got["b", 2] == (2, 5) and got[None, 1] == (1, 4)
+    assert graph.shortest_path(spark.createDataFrame([("A", "B")], "src string, dst string"), "Q", "Q") == []
