@@ -1,80 +1,47 @@
-"""Near-duplicate vectors by blocks of matrices, and maintenance suggestions.
-
-All pairs of blocks are multiplied in single precision; pairs that may reach the
-bound are checked with the exact cosine.
-"""
+"""Near-duplicate vectors through a k-means tree, and maintenance suggestions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..plans.materialize import materialize
+from .vector_tree import PARTITION_ROWS, calibrate_margin, meet, place, routing_tree
 
-#: Vectors of a block, and how much the single-precision cosine of a block may be off.
-BLOCK, SLACK = 4096, 1e-4
-
-
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """(n, block, ids, units): vectors of n numbers, packed in blocks as single-precision unit vectors."""
-    id_type = dict(nodes.dtypes)["id"]
-    blocks = max(1, -(-nodes.count() // BLOCK))
-    placed = nodes.select("id", "vec", F.size("vec").alias("n"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.nan_to_num(np.stack([np.asarray(v, np.float64) for v in part.vec]))
-        # by the largest number first, as squares of very large and very small ones leave the range
-        big = np.abs(x).max(axis=1, keepdims=True)
-        x = np.divide(x, big, out=np.zeros_like(x), where=big > 0)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32)
-        return pd.DataFrame({"n": [part.n.iloc[0]], "block": [part.block.iloc[0]], "ids": [list(part.id)], "units": [x.tobytes()]})
-
-    packed = placed.groupBy("n", "block").applyInPandas(pack, f"n int, block int, ids array<{id_type}>, units binary")
-    return materialize(packed.repartition(16, "n", "block"), "blocks")
+#: The share of the pairs of a made-up sample at and above the bound that each walk must find.
+RECALL = 0.9995
 
 
-def _met(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: all pairs of vectors that may be ``least`` alike; every block is held against every other."""
-    id_type = dict(nodes.dtypes)["id"]
-    packed = _blocks(nodes)
-    left, right = (packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns]) for s in "xy")
-    # not joined on n, which few values share
-    both = left.crossJoin(right).where("n_x = n_y AND block_x <= block_y")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for n, i, j, ids_x, x, ids_y, y in zip(b.n_x, b.block_x, b.block_y, b.ids_x, b.units_x, b.ids_y, b.units_y):
-                x, y = np.frombuffer(x, np.float32).reshape(-1, n), np.frombuffer(y, np.float32).reshape(-1, n)
-                for at in range(0, len(x), 256):
-                    p, q = np.divmod(np.flatnonzero(x[at : at + 256] @ y.T >= least - SLACK), len(y))
-                    p += at
-                    if i == j:
-                        p, q = p[p < q], q[p < q]
-                    if len(p):
-                        u, v = np.asarray(ids_x)[p], np.asarray(ids_y)[q]
-                        yield pd.DataFrame({"a": np.where(u < v, u, v), "b": np.where(u < v, v, u)})
-
-    return both.mapInPandas(compare, f"a {id_type}, b {id_type}")
-
-
-def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0.92) -> DataFrame:
-    """(a, b, score), a < b: all pairs of different vectors at least ``least`` alike.
+def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0.92, recall: float = RECALL, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """(a, b, score), a < b: pairs of different vectors at least ``least`` alike.
 
     Equal vectors are one node named by its smallest id; ``near_vector_members``
-    gives all ids of a node. Every vector is held against every other in blocks,
-    so the work grows with the square of the different vectors.
+    gives all ids of a node. Pairs are looked for through a hierarchical k-means
+    tree whose walks are calibrated to ``recall``; a pair that comes out is exact,
+    and no vector has a cap on its partners. Vectors of different lengths make no
+    pair, nor do those with nulls or numbers that are not finite, or all zero.
     """
-    own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")).where(F.size("vec") > 0)
-    nodes = materialize(own.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "vectors")
-    met = materialize(_met(nodes, least), "met")
-    sided = met.join(nodes.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(nodes.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    return sided.select("a", "b", F.round(cosine("va", "vb"), 6).alias("score")).where((F.col("score") >= least) & ~F.isnan("score"))
+    own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where(F.size("vec") > 0)
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    nodes = own.where(finite & F.exists("vec", lambda x: x != 0)).groupBy("vec").agg(F.min("id").alias("name"))
+    nodes = materialize(nodes.select("name", "vec", F.monotonically_increasing_id().alias("id")), "vectors")
+    kind, parts = dict(nodes.dtypes)["name"], []
+    for r in nodes.groupBy(F.size("vec").alias("n")).count().collect():  # one row a length
+        same = nodes.where(F.size("vec") == r.n).select("id", F.col("vec").alias("v"))
+        tree, sample = routing_tree(same, r["count"], r.n, partition_rows)
+        level = (1 + recall) / 2
+        margin = calibrate_margin(sample, tree, 1, level, least)
+        placed = materialize(place(same.withColumn("asks", F.lit(True)), tree, margin, r.n), "placed")
+        parts.append(meet(placed, None, least, level, True, partition_rows).where("id < other"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, score double")
+    met = materialize(reduce(DataFrame.unionByName, parts), "met")
+    named = lambda x, s: nodes.select(F.col("id").alias(x), F.col("name").alias(s)).hint("merge")
+    pairs = met.join(named("id", "x"), "id").join(named("other", "y"), "other")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("cosine").alias("score"))
 
 
 def near_vector_members(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
