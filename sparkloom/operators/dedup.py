@@ -11,8 +11,8 @@ from ..functions.vectors import cosine
 from ..plans.materialize import materialize
 from .vector_tree import PARTITION_ROWS, calibrate_margin, meet, place, routing_tree
 
-#: The share of the pairs of a made-up sample at and above the bound that each walk must find.
-RECALL = 0.9995
+#: The share of the made-up pairs that the walks are calibrated to; 1 takes them at the bound itself.
+RECALL = 1.0
 
 
 def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: float = 0.92, recall: float = RECALL, partition_rows: int = PARTITION_ROWS) -> DataFrame:
@@ -20,8 +20,8 @@ def near_vector_pairs(vectors: DataFrame, id_col: str, vector_col: str, least: f
 
     Equal vectors are one node named by its smallest id; ``near_vector_members``
     gives all ids of a node. Pairs are looked for through a hierarchical k-means
-    tree whose walks are calibrated to ``recall``; a pair that comes out is exact,
-    and no vector has a cap on its partners. Vectors of different lengths make no
+    tree whose walks are calibrated to ``recall``, measured and not proven; a pair
+    that comes out is exact, and no vector has a cap on its partners. Vectors of different lengths make no
     pair, nor do those with nulls or numbers that are not finite, or all zero.
     """
     own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where(F.size("vec") > 0)

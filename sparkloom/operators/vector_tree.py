@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
+
 #: Vectors of a partition, about; the least partitions, for the sake of parallel
 #: work; vectors of a leaf inside a partition.
 PARTITION_ROWS, LEAST_PARTITIONS, LEAF_ROWS = 131_072, 16, 512
@@ -173,25 +175,29 @@ def calibrate_margin(
     farther than the k nearest of all rows, so the answer is on the safe side.
     With one, partners are made, spread evenly from that cosine to one, and a pair
     counts as found when the one visits the other, or with ``either`` one of the two.
+    A recall of 1 makes all partners at the least cosine, where they are hardest to
+    find, and takes the largest margin that any of them needs, and a fifth more.
     """
     if tree.leaves < 2:
         return 0.0
     rng = np.random.default_rng(seed)
     x = unit_of(sample)
+    whole = recall >= 1
+    queries = max(queries, 4096) if whole else queries
     q = x[rng.choice(len(x), min(queries, len(x)), replace=False)]
     at, deep = np.arange(len(q)), _depths(q, tree)
     if least_cosine is None:
         near = np.argsort(-(q @ x.T), axis=1)[:, 1 : k + 1]
         need = deep[at[:, None], home_of(x, tree)[near]].ravel()
     else:
-        c = rng.uniform(least_cosine, 1, (len(q), 1))
+        c = rng.uniform(least_cosine, least_cosine if whole else 1, (len(q), 1))
         noise = rng.standard_normal(q.shape)
         noise -= (noise * q).sum(axis=1, keepdims=True) * q
         partner = c * q + np.sqrt(1 - c**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
         need = deep[at, home_of(partner, tree)]
         if either:
             need = np.minimum(need, _depths(partner, tree)[at, home_of(q, tree)])
-    return float(np.quantile(need, recall, method="higher")) + 1e-6 if len(need) else 0.0
+    return float(np.quantile(need, min(1.0, recall), method="higher")) * (1.2 if whole else 1.0) + 1e-6 if len(need) else 0.0
 
 
 def first_k(ids: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -400,3 +406,28 @@ def meet(search: DataFrame, k: int | None, least_cosine: float | None, recall: f
                 yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(v[part])], names=["id", "other", "cosine"])
 
     return rows.groupBy("leaf", "x", "y").applyInArrow(run, "id long, other long, cosine double").distinct()
+
+
+def index_topk(vectors: DataFrame, asked: DataFrame, k: int, id_col: str = "id", vector_col: str = "vec", recall: float = 0.99, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """(query_id, id, score, rank): for the rows of ``asked`` (id) their k most similar others, by the tree.
+
+    Approximate: walks are calibrated to ``recall`` on a sample. Ids are whole numbers
+    and unique; vectors of another length than the commonest, with nulls or numbers
+    that are not finite, or all zero are left out. Ties go to the smaller id.
+    """
+    v = F.col(vector_col).cast("array<float>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = vectors.where(F.col(id_col).isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    schema = "query_id long, id long, score double, rank int"
+    if sizes is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    same = good.where(F.size("v") == sizes.n)
+    tree, sample = routing_tree(same, sizes["count"], sizes.n, partition_rows)
+    level = (1 + recall) / 2
+    margin = calibrate_margin(sample, tree, k, level, None)
+    marked = same.join(asked.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asked", F.lit(False)))
+    met = meet(materialize(place(marked, tree, margin, sizes.n), "placed"), k, None, level, False, partition_rows)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    named = met.select(F.col("id").alias("query_id"), F.col("other").alias("id"), F.col("cosine").alias("score"))
+    return named.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)

@@ -38,6 +38,14 @@ def vector_topk_batch(spark, d):
     return _lists(spark, d, 8)
 
 
+@query(f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ({_TOPK}) WHERE query_id <> id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 8")
+def vector_index_topk(spark, d):
+    from ..operators.vector_tree import index_topk
+
+    e = table(spark, d, "embeddings")
+    return index_topk(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id")), 8, "vec_id", "embedding", recall=1.0)
+
+
 @query(f"SELECT query_id, id, score FROM ({_TOPK}) WHERE rank < 24 AND score >= 0.35")
 def vector_threshold(spark, d):
     return _lists(spark, d, 24).where("score >= 0.35").select("query_id", "id", "score")
