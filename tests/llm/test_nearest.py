@@ -1,6 +1,7 @@
 import numpy as np
 
 from sparkloom.llm import nearest as nn
+from sparkloom.operators import vector_tree as vt
 
 SCHEMA = "id long, v array<float>, other long, cosine double"
 
@@ -68,8 +69,8 @@ def test_partitions_stay_bounded_however_many_rows(spark):
     df = table(spark, list(range(len(x))), x)
     vectors = nn.usable_vectors(df, "id", "v", 8).cache()
     for rows in (16, 64):
-        tree, _ = nn.routing_tree(vectors, len(x), 8, rows)
-        homes = np.bincount(nn._home(nn._unit(x), tree), minlength=tree.leaves)
+        tree, _ = vt.routing_tree(vectors, len(x), 8, rows)
+        homes = np.bincount(vt.home_of(vt.unit_of(x), tree), minlength=tree.leaves)
         assert homes.sum() == len(x)
         assert np.quantile(homes, 0.99) <= 1.5 * rows
         assert len(x) / rows / 2 <= tree.leaves <= 12 * len(x) / rows
