@@ -11,9 +11,11 @@ before. All of it stays in built-in SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 #: Boundaries from strong to weak, as they look in the byte view: blank line,
 #: line end, sentence end (also of Chinese), clause end, white space.
 BOUNDARIES = (
@@ -58,7 +60,7 @@ def pieces_of(content: Column, max_bytes: int, overlap_bytes: int) -> Column:
 
 
 def split_oversized(
-    chunks: DataFrame, max_tokens: int = 512, overlap_tokens: int = 32, bytes_per_token: int = 4, run: int = 256
+    chunks: DataFrame, max_tokens: int = 512, overlap_tokens: int = 32, bytes_per_token: int = 4
 ) -> DataFrame:
     """Pieces of the chunks whose content has more than ``max_tokens`` tokens.
 
@@ -70,9 +72,9 @@ def split_oversized(
     different contents are all split. Null or short contents give no rows; null
     ids and sequences are kept and sort first. Other columns are not carried, so
     clashing names do no harm. A text without any boundary is cut between
-    characters. Numbering is two-level: pieces are ranked within runs of ``run``
-    stored sequence numbers and the runs are offset by a prefix sum, so one
-    document may hold any share of the rows.
+    characters. Numbering is two-level: ranges of (document, sequence, chunk, piece)
+    cut a document into runs, and the runs are offset by a prefix sum, so one
+    document, or the rows without one, may hold any share of the rows.
     """
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("overlap_tokens must be at least 0 and below max_tokens")
@@ -83,18 +85,11 @@ def split_oversized(
         .agg(F.min("doc_id").alias("doc_id"), F.min("sequence").alias("chunk_sequence"))
     )
     pieces = big.select(
-        "chunk_id", "doc_id", "chunk_sequence", F.posexplode(pieces_of(F.col("content"), limit, overlap)).alias("piece", "content")
+        "chunk_id", "doc_id", "chunk_sequence", F.xxhash64("content").alias("text_hash"), F.posexplode(pieces_of(F.col("content"), limit, overlap)).alias("piece", "content")
     )
-    pieces = pieces.withColumn("run", F.floor(F.coalesce("chunk_sequence", F.lit(-1)) / run))
-    sizes = big.groupBy("doc_id", F.floor(F.coalesce("chunk_sequence", F.lit(-1)) / run).alias("run"))
-    sizes = sizes.agg(F.sum(F.size(pieces_of(F.col("content"), limit, overlap))).alias("n"))
-    before = Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("doc_id").alias("o_doc"), F.col("run").alias("o_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("doc_id", "run").orderBy("chunk_sequence", "chunk_id", F.xxhash64("content"), "piece")
-    numbered = pieces.withColumn("n", F.row_number().over(within))
-    joined = numbered.join(offsets, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("run") == F.col("o_run")))
-    return joined.select(
-        "chunk_id", "doc_id", "chunk_sequence", "piece", (F.col("offset") + F.col("n") - 1).alias("sequence"), "content",
+    order = [F.col("chunk_sequence").asc_nulls_first(), F.col("chunk_id").asc_nulls_first(), F.col("text_hash"), F.col("piece")]
+    return running(pieces, "doc_id", order, {}).select(
+        "chunk_id", "doc_id", "chunk_sequence", "piece", (F.col("nth") - 1).alias("sequence"), "content",
         F.ceil(F.octet_length("content") / bytes_per_token).cast("int").alias("token_count"),
     )
 
