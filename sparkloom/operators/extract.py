@@ -102,7 +102,15 @@ def persons(text: Column, surnames: str = SURNAMES, not_names: tuple[str, ...] =
     """
     if not surnames:
         return F.array().cast("array<string>")
-    kinds = [rf"(?!(?:{'|'.join(w for w in not_names if len(w) == n) or '(?!)'}))[{surnames}][一-鿿]{{{n - 1}}}" for n in (2, 3, 4)]
+    # only words that begin with a surname can be taken for a name; a longer name needs a shorter word that is none
+    alike = [w for w in not_names if w[0] in surnames]
+    kinds = []
+    for n in (2, 3, 4):
+        stops = "|".join(w for w in alike if len(w) == n)
+        no_word = f"(?!{stops})" if stops else ""
+        kinds.append(rf"(?=[{surnames}]){no_word}[一-鿿]{{{n}}}")
+        if not stops:
+            break
     found = F.regexp_extract_all(text, F.lit(rf"(?s)({'|'.join(kinds)}).?"), F.lit(1))
     return F.array_distinct(found)
 
