@@ -23,6 +23,7 @@ exact alikeness of their texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -89,13 +90,17 @@ def signature(text: str, symbols: int = SYMBOLS) -> bytes:
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"chunk_id": batch.chunk_id, "text_hash": batch.text_hash, "sig": [signature(t) for t in batch.text]})
+        batch = batch[[t is not None and len(t) >= LEAST_CHARS for t in batch.text]]
+        hashes = [hashlib.md5(t.encode()).digest() for t in batch.text]
+        yield pd.DataFrame({"chunk_id": batch.chunk_id, "text_hash": hashes, "sig": [signature(t) for t in batch.text]})
 
 
 def signatures(chunks: DataFrame) -> DataFrame:
-    """chunk_id, text_hash (of the normalized text) and sig of the texts that count."""
+    """chunk_id, text_hash (of the normalized text) and sig of the texts that count.
+
+    The text is normalized once; what depends on it is made where the signature is.
+    """
     texts = chunks.where("chunk_id IS NOT NULL").select("chunk_id", normalized(F.col("content")).alias("text"))
-    texts = texts.where(F.char_length("text") >= LEAST_CHARS).select("chunk_id", F.unhex(F.md5("text")).alias("text_hash"), "text")
     return texts.mapInPandas(_sign, "chunk_id long, text_hash binary, sig binary")
 
 
