@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 from .ranges import running
 
+# Fixed value: what stands before the summary of a compacted history.
+SUMMARY_MARK = "[对话历史摘要] "
+
 
 def newest_within_budget(messages: DataFrame, by: str, order: list[str], cost: Column, budget: int, least: int = 1) -> DataFrame:
     """The newest messages of each group whose costs fit the budget; at least ``least``.
@@ -139,6 +142,6 @@ def compact_history(messages: DataFrame, by: str, order: list[str], cost: Column
     if summarize is None:
         told = old.groupBy(by).agg(F.concat(F.lit("(earlier messages left out: "), F.count("*").cast("string"), F.lit(")")).alias("content"))
     else:
-        told = summarize(old.select(*narrow)).select(by, F.concat(F.lit("[对话历史摘要] "), "content").alias("content"))
+        told = summarize(old.select(*narrow)).select(by, F.concat(F.lit(SUMMARY_MARK), "content").alias("content"))
     nulls = [F.lit(None).cast(dict(messages.dtypes)[c]).alias(c) for c in order]
     return told.select(by, *nulls, F.lit("system").alias("role"), "content", F.lit(0).alias("part")).unionByName(kept)
